@@ -21,11 +21,13 @@ from sigloom.llm.shingles import shingle_sets
 #: A pair at similarity 0.75 shares no band with a probability of (1 - 0.75 ** 5) ** 40 = 2e-5.
 BANDS, ROWS = 40, 5
 SLOTS = BANDS * ROWS
-#: One byte each of the first slots. Pairs with fewer agreements than LEAST_AGREE aren't verified; a pair
-#: at 0.75 agrees in 48 of 64 on average, with a standard deviation of at most 3.5.
-SKETCH, LEAST_AGREE = 64, 28
-#: Members of other components than a bucket's largest that are compared in the first round; four times as many in each next.
-HUBS = 64
+#: A sketch is one byte of every slot. A pair at 0.75 agrees in 150 slots on average, with a standard deviation of 6
+#: at most; pairs that agree in fewer than LEAST_AGREE aren't verified.
+LEAST_AGREE = 122
+#: Members of a bucket that are compared at a time.
+CHUNK = 256
+#: Most similar partners of a member that are verified before the rest.
+BEST = 8
 _BLOCK = 1 << 15
 
 
@@ -76,7 +78,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, bounds = shingle_sets(buf, offs)
         sig = super_minhash(sets, bounds)
         keys = band_keys(sig)
-        sketch = (sig[:, :SKETCH] & np.uint32(0xFF)).astype(np.uint8)
+        sketch = (sig & np.uint32(0xFF)).astype(np.uint8)
         size = np.diff(bounds)
         digest = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
@@ -98,10 +100,37 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with sketches, those that may be similar enough."""
     for rb in batches:
         if rb.num_rows:
-            x, y = (np.frombuffer(b"".join(rb.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(rb.column(i).to_pylist()), np.uint8).reshape(-1, SLOTS) for i in (2, 3))
             yield rb.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREE))
 
 
+def _compare(best_only: bool):
+    """Of two chunks of a bucket's members, the pairs of different components that may be similar enough, each in
+    the first band that it shares; best_only: for each left member only the most similar one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            out_a, out_b, out_n = [], [], []
+            for i in range(rb.num_rows):
+                band = rb.column(0)[i].as_py()
+                left, right = rb.column(1)[i].values, rb.column(2)[i].values
+                (ln, lc, ls), (rn, rc, rs) = ((x.field(0).to_numpy(), x.field(1).to_numpy(), np.frombuffer(b"".join(x.field(2).to_pylist()), np.uint8).reshape(-1, SLOTS)) for x in (left, right))
+                for node, comp, sketch in zip(ln.tolist(), lc.tolist(), ls, strict=True):
+                    same = rs == sketch
+                    agree = same.sum(axis=1)
+                    at = np.flatnonzero((agree >= LEAST_AGREE) & (rc != comp))
+                    if len(at):
+                        at = at[same[at].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+                    if best_only and len(at) > 1:
+                        at = at[np.lexsort((rn[at], -agree[at]))[:1]]
+                    out_a += [node] * len(at)
+                    out_b += rn[at].tolist()
+                    out_n += agree[at].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_n, pa.int64())], names=["node", "other", "agree"])
+
+    return run
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both texts, those with 100 * |A and B| >= 75 * |A or B|."""
     hub, known = None, None
@@ -173,10 +202,11 @@ def components(links: DataFrame, stage: Stage) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
-    Equal sets collapse to a class first. A class's bands are pre-aggregated per bucket; a bucket compares
-    its members with its smallest member, then, while its members lie in several components, those
-    outside its largest component with the rest. So no bucket emits the pairs within a group of copies,
-    and no pair that shares a bucket is left open.
+    Equal sets collapse to a class first. Then every bucket compares its members with one hub, the member that
+    meets most others over all its buckets. Members that this leaves in other components than their bucket's
+    largest are compared with all other members in bounded chunks, by sketch: first, each one's most similar
+    partners are verified; what these leave open is verified in full. So copies of a text merge without their pairs
+    being emitted, and no pair of different components that shares a bucket is left open.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "near")
@@ -184,42 +214,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stage.put(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, _SIGNED))
     linkable = signed.where("doc_id is not null and digest is not null")
     classes = stage.put(linkable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    slots = classes.select("node", F.explode("bands").alias("b"))
-    shared = slots.groupBy("b").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("b", "hub")
+    slots = classes.select("node", F.posexplode("bands").alias("band", "b"))
+    shared = slots.groupBy("b").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.count("*").alias("n")).where("low < top").select("b", "n")
     members = stage.put(slots.join(shared, "b"))
+    reach = members.groupBy("node").agg(F.sum("n").alias("reach"))
+    hubs = members.join(reach, "node").groupBy("b").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("hub"))
+    rest = stage.put(members.join(hubs, "b").where("node != hub").select("b", "band", "node", "hub"))
     sketches = classes.select("node", "sketch")
     needed = members.select("node").distinct()
     texts = stage.put(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(needed, "node", "left_semi"))
+    stage.drop(members)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         """pairs (a, b): those that are similar, written."""
-        left, right = (sketches.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
-        alike = stage.put(pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a long, b long"))
         left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        out = stage.put(alike.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
-        stage.drop(alike)
-        return out
+        return stage.put(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
 
-    links = confirmed(members.where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    rest, hubs = members.select("b", "node"), HUBS
-    while True:
+    pairs = rest.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    left, right = (sketches.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+    links = verified(stage.put(pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a long, b long")))
+    for best_only in (True, False):
         roots = components(links, stage)
-        placed = rest.join(roots, "node", "left").select("b", "node", F.coalesce("root", "node").alias("comp"))
+        placed = rest.join(roots, "node", "left").select("b", "band", "node", F.coalesce("root", "node").alias("comp"))
         sizes = placed.groupBy("b", "comp").agg(F.count("*").alias("n"))
-        open_ = sizes.groupBy("b").agg(F.count("*").alias("k"), F.max(F.struct("n", "comp")).alias("big")).where("k > 1").select("b", F.col("big.comp").alias("main"))
-        rest = stage.put(placed.join(open_, "b"))
-        if rest.isEmpty():
-            break
-        w = Window.partitionBy("b").orderBy("node")
-        chosen = stage.put(rest.where("comp != main").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= hubs).select("b", "node", "comp"))
-        hub = chosen.select("b", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-        pairs = rest.join(hub, "b").where("comp != hub_comp").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        more = confirmed(pairs)
-        links = stage.put(links.union(more).distinct())
-        rest = rest.join(chosen.select("b", "node"), ["b", "node"], "left_anti").select("b", "node")
-        hubs *= 4
+        open_ = sizes.groupBy("b").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main")).where("k > 1")
+        parts = lambda n: F.ceil(n / CHUNK)
+        open_ = open_.select("b", F.col("main.comp").alias("main"), parts(F.col("n")).alias("n_right"), parts(F.col("n") - F.col("main.n")).alias("n_left"))
+        here = stage.put(placed.join(open_, "b").join(sketches, "node"))
+        packed = F.collect_list(F.struct("node", "comp", "sketch"))
+        keys = [F.pmod(F.xxhash64("node"), F.col(f"n_{side}")) for side in ("left", "right")]
+        left = here.where("comp != main").groupBy("b", keys[0].alias("l"), "n_right").agg(packed.alias("left"))
+        right = here.groupBy("b", "band", keys[1].alias("r"), "n_left").agg(packed.alias("right"))
+        left = left.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_right") - 1)))
+        right = right.withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1)))
+        near = left.join(right, ["b", "l", "r"]).select("band", "left", "right").mapInArrow(_compare(best_only), "node long, other long, agree long")
+        if best_only:
+            w = Window.partitionBy("node").orderBy(F.col("agree").desc(), "other")
+            near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= BEST)
+        pairs = stage.put(near.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
+        links = stage.put(links.union(verified(pairs)).distinct())
+        stage.drop(here)
+    roots = components(links, stage)
     group = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    stage.drop(members, texts)
+    stage.drop(rest, texts)
     out = signed.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
