@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from sigloom.llm._common import narrow, splitmix, text_chunks, texts_of
 
-#: Resolved pre-tokens that a worker keeps.
-KEPT = 200_000
+#: Resolved pre-tokens that a worker keeps, some 150 MB of them; beyond it, those of the text at hand stay.
+KEPT = 600_000
 _PLACE = splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -149,39 +149,35 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.entries = list(ranks)
         self.ids = np.array(list(ranks.values()), np.int64)
-        self.bytes_of = {v: k for k, v in ranks.items()}
+        self.bytes_of = {str(v): k for k, v in ranks.items()}
         self.hash = PerfectHash(self.entries)
         self.rank = ranks.get
-        self.kept: dict[str, tuple[int, ...]] = {}
-        self.shown: dict[str, str] = {}
+        self.kept: dict[str, str] = {}
 
     def resolve(self, pieces: list[str]) -> None:
-        """Put the pieces' ids into the table of resolved ones."""
+        """Put the pieces' ids (decimal, joined by commas) into the table of resolved ones."""
         raw = [p.encode() for p in pieces]
         whole = self.hash.find(raw)
         ids = np.where(whole >= 0, self.ids[whole], -1).tolist()
         for text, piece, at in zip(pieces, raw, ids, strict=True):
-            got = (at,) if at >= 0 else tuple(merge(piece, self.rank))
-            self.kept[text] = got
-            self.shown[text] = ",".join(map(str, got))
+            self.kept[text] = str(at) if at >= 0 else ",".join(map(str, merge(piece, self.rank)))
 
-    def split(self, texts: list[str]) -> list[list[str]]:
-        """Pre-tokens of each text, all of them resolved."""
+    def shown(self, texts: list[str]) -> list[str]:
+        """The ids of each text, decimal and joined by commas."""
         find = self.pattern.findall
         words = [find(t) for t in texts]
         need = set(chain.from_iterable(words))
         if len(self.kept) > KEPT:
-            self.kept.clear()
-            self.shown.clear()
-        new = [w for w in need if w not in self.kept]
-        self.resolve(new)
-        return words
+            self.kept = {w: self.kept[w] for w in need if w in self.kept}
+        self.resolve([w for w in need if w not in self.kept])
+        get = self.kept.__getitem__
+        return [",".join(map(get, w)) for w in words]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        get = self.kept.__getitem__
-        return [list(chain.from_iterable(map(get, w))) for w in self.split(texts)]
+        return [list(map(int, s.split(","))) if s else [] for s in self.shown(texts)]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: list[str]) -> bytes:
+        """The bytes of decimal ids."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
@@ -209,7 +205,7 @@ def _decoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for rb in batches:
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([c.decode(x or []) for x in rb.column(1).to_pylist()], pa.binary())], names=["doc_id", "bytes"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([c.decode(map(str, x or [])) for x in rb.column(1).to_pylist()], pa.binary())], names=["doc_id", "bytes"])
 
     return run
 
@@ -226,11 +222,10 @@ def _digester(path: str, pattern: str):
         c = codec(path, pattern)
         for rb, buf, offs in text_chunks(batches, "text"):
             sha, count, shown, decoded = hashlib.sha256, [], [], []
-            get, show = c.kept.__getitem__, c.shown.__getitem__
-            for words in c.split(texts_of(buf, offs)):
-                ids = list(chain.from_iterable(map(get, words)))
+            for text in c.shown(texts_of(buf, offs)):
+                ids = text.split(",") if text else []
                 count.append(len(ids))
-                shown.append(sha(",".join(map(show, words)).encode()).hexdigest())
+                shown.append(sha(text.encode()).hexdigest())
                 decoded.append(sha(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(count, pa.int64()), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
