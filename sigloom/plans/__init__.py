@@ -1,0 +1 @@
+"""Composed pipelines and the query catalog."""
