@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Most text bytes that a kernel looks at in one go; a longer single text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Files of a small staged table: enough tasks for a few executors.
+LEAST_FILES = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,9 +45,12 @@ class Stage:
         self.made = 0
         self.paths: dict[int, str] = {}
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
+        """rows: about how many there will be, where that is known; a small table then goes to few files, not to one a partition."""
         path = f"{self.root}/{self.made}"
         self.made += 1
+        if rows is not None:
+            df = df.coalesce(max(LEAST_FILES, -(-rows // per_file)))
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path

@@ -181,7 +181,8 @@ def components(links: DataFrame, stage: Stage) -> DataFrame:
     and every node with its smaller ones on the smallest, until nothing changes. Minima are pre-aggregated.
     """
     a, b = links.columns
-    edges = stage.put(links.select(F.col(a).alias("u"), F.col(b).alias("v")).mapInArrow(_local_forest, "u long, v long").distinct())
+    n = links.count()
+    edges = stage.put(links.select(F.col(a).alias("u"), F.col(b).alias("v")).mapInArrow(_local_forest, "u long, v long").distinct(), n)
     seen = None
     while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -191,10 +192,10 @@ def components(links: DataFrame, stage: Stage) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = stage.put(large)
+        large = stage.put(large, mark[0])
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        after = stage.put(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        after = stage.put(small.union(least.select("u", F.col("m").alias("v"))).distinct(), mark[0])
         stage.drop(edges, large)
         edges = after
 
@@ -225,22 +226,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = stage.put(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(needed, "node", "left_semi"))
     stage.drop(members)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b): those that are similar, written."""
+    def verified(pairs: DataFrame, n: int) -> DataFrame:
+        """n pairs (a, b): those that are similar, written."""
         left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        return stage.put(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+        return stage.put(both.mapInArrow(_verify, "a long, b long"), n, 2000)
 
     pairs = rest.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     left, right = (sketches.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
-    links = verified(stage.put(pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a long, b long")))
+    pairs = stage.put(pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a long, b long"))
+    links = verified(pairs, pairs.count())
+    roots = components(links, stage)
     for best_only in (True, False):
-        roots = components(links, stage)
         placed = rest.join(roots, "node", "left").select("b", "band", "node", F.coalesce("root", "node").alias("comp"))
         sizes = placed.groupBy("b", "comp").agg(F.count("*").alias("n"))
         open_ = sizes.groupBy("b").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main")).where("k > 1")
         parts = lambda n: F.ceil(n / CHUNK)
         open_ = open_.select("b", F.col("main.comp").alias("main"), parts(F.col("n")).alias("n_right"), parts(F.col("n") - F.col("main.n")).alias("n_left"))
         here = stage.put(placed.join(open_, "b").join(sketches, "node"))
+        if here.isEmpty():
+            break
         packed = F.collect_list(F.struct("node", "comp", "sketch"))
         keys = [F.pmod(F.xxhash64("node"), F.col(f"n_{side}")) for side in ("left", "right")]
         left = here.where("comp != main").groupBy("b", keys[0].alias("l"), "n_right").agg(packed.alias("left"))
@@ -252,9 +257,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             w = Window.partitionBy("node").orderBy(F.col("agree").desc(), "other")
             near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= BEST)
         pairs = stage.put(near.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
-        links = stage.put(links.union(verified(pairs)).distinct())
+        # The components so far are a forest of their own, so only new links are added to it.
+        more = verified(pairs, pairs.count())
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
         stage.drop(here)
-    roots = components(links, stage)
+        roots = components(links, stage)
     group = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     stage.drop(rest, texts)
     out = signed.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
