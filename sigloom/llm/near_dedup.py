@@ -24,10 +24,8 @@ SLOTS = BANDS * ROWS
 #: A sketch is one byte of every slot. A pair at 0.75 agrees in 150 slots on average, with a standard deviation of 6
 #: at most; pairs that agree in fewer than LEAST_AGREE aren't verified.
 LEAST_AGREE = 122
-#: Members of a bucket that are compared at a time.
-CHUNK = 256
-#: Most similar partners of a member that are verified before the rest.
-BEST = 8
+#: Members of a bucket that are compared at a time, and their shingles.
+CHUNK, CHUNK_SHINGLES = 256, 200_000
 _BLOCK = 1 << 15
 
 
@@ -104,31 +102,51 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rb.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREE))
 
 
-def _compare(best_only: bool):
-    """Of two chunks of a bucket's members, the pairs of different components that may be similar enough, each in
-    the first band that it shares; best_only: for each left member only the most similar one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            out_a, out_b, out_n = [], [], []
-            for i in range(rb.num_rows):
-                band = rb.column(0)[i].as_py()
-                left, right = rb.column(1)[i].values, rb.column(2)[i].values
-                (ln, lc, ls), (rn, rc, rs) = ((x.field(0).to_numpy(), x.field(1).to_numpy(), np.frombuffer(b"".join(x.field(2).to_pylist()), np.uint8).reshape(-1, SLOTS)) for x in (left, right))
-                for node, comp, sketch in zip(ln.tolist(), lc.tolist(), ls, strict=True):
-                    same = rs == sketch
-                    agree = same.sum(axis=1)
-                    at = np.flatnonzero((agree >= LEAST_AGREE) & (rc != comp))
-                    if len(at):
-                        at = at[same[at].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-                    if best_only and len(at) > 1:
-                        at = at[np.lexsort((rn[at], -agree[at]))[:1]]
-                    out_a += [node] * len(at)
-                    out_b += rn[at].tolist()
-                    out_n += agree[at].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_n, pa.int64())], names=["node", "other", "agree"])
-
-    return run
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether 100 * |x and y| >= 75 * |x or y|, for sorted sets."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small) or 100 * len(small) < 75 * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= 75 * (len(small) + len(large) - both)
+
+
+def _sets(texts: list[str | None]) -> list[np.ndarray]:
+    raw = [(t or "").encode() for t in texts]
+    offs = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+    sets, bounds = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), offs)
+    return [sets[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two chunks of a bucket's members (node, comp, sketch, text), the similar pairs of different components.
+
+    A pair is looked at in the first band that it shares only; its sketches decide whether its sets are compared.
+    """
+    for rb in batches:
+        out_a, out_b = [], []
+        for i in range(rb.num_rows):
+            band = rb.column(0)[i].as_py()
+            left, right = rb.column(1)[i].values, rb.column(2)[i].values
+            (ln, lc, ls), (rn, rc, rs) = ((x.field(0).to_numpy(), x.field(1).to_numpy(), np.frombuffer(b"".join(x.field(2).to_pylist()), np.uint8).reshape(-1, SLOTS)) for x in (left, right))
+            todo: dict[int, np.ndarray] = {}
+            for k, (comp, sketch) in enumerate(zip(lc.tolist(), ls, strict=True)):
+                same = rs == sketch
+                at = np.flatnonzero((same.sum(axis=1) >= LEAST_AGREE) & (rc != comp))
+                if len(at):
+                    at = at[same[at].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+                if len(at):
+                    todo[k] = at
+            if todo:
+                used = np.unique(np.concatenate(list(todo.values())))
+                sets = dict(zip(used.tolist(), _sets(right.field(3).take(pa.array(used)).to_pylist()), strict=True))
+                own = _sets(left.field(3).take(pa.array(list(todo), pa.int64())).to_pylist())
+                for (k, at), mine in zip(todo.items(), own, strict=True):
+                    hits = [j for j in at.tolist() if _similar(mine, sets[j])]
+                    out_a += [int(ln[k])] * len(hits)
+                    out_b += [int(rn[j]) for j in hits]
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +161,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (text := texts[i].as_py() or "") != hub:
                     raw = np.frombuffer(text.encode(), np.uint8)
                     hub, known = text, shingle_sets(raw, np.array([0, len(raw)]))[0]
-                mine = sets[bounds[i] : bounds[i + 1]]
-                small, large = (mine, known) if len(mine) < len(known) else (known, mine)
-                if not len(small) or 100 * len(small) < 75 * len(large):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= 75 * (len(small) + len(large) - both))
+                keep.append(_similar(sets[bounds[i] : bounds[i + 1]], known))
             yield part.select([0, 1]).filter(pa.array(keep))
 
 
@@ -205,22 +216,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets collapse to a class first. Then every bucket compares its members with one hub, the member that
     meets most others over all its buckets. Members that this leaves in other components than their bucket's
-    largest are compared with all other members in bounded chunks, by sketch: first, each one's most similar
-    partners are verified; what these leave open is verified in full. So copies of a text merge without their pairs
-    being emitted, and no pair of different components that shares a bucket is left open.
+    largest are compared with all other members in bounded chunks, by sketch and then by their sets, and only links
+    leave a chunk. So copies of a text merge without their pairs being emitted, and no pair of different components that
+    shares a bucket is left open.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "near")
     docs = narrow(docs, doc_id=id_col, text=text_col)
     signed = stage.put(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, _SIGNED))
     linkable = signed.where("doc_id is not null and digest is not null")
-    classes = stage.put(linkable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    slots = classes.select("node", F.posexplode("bands").alias("band", "b"))
+    classes = stage.put(linkable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")))
+    slots = classes.select("node", "size", F.posexplode("bands").alias("band", "b"))
     shared = slots.groupBy("b").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.count("*").alias("n")).where("low < top").select("b", "n")
     members = stage.put(slots.join(shared, "b"))
     reach = members.groupBy("node").agg(F.sum("n").alias("reach"))
     hubs = members.join(reach, "node").groupBy("b").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("hub"))
-    rest = stage.put(members.join(hubs, "b").where("node != hub").select("b", "band", "node", "hub"))
+    rest = stage.put(members.join(hubs, "b").where("node != hub").select("b", "band", "node", "size", "hub"))
     sketches = classes.select("node", "sketch")
     needed = members.select("node").distinct()
     texts = stage.put(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(needed, "node", "left_semi"))
@@ -237,31 +248,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = stage.put(pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a long, b long"))
     links = verified(pairs, pairs.count())
     roots = components(links, stage)
-    for best_only in (True, False):
-        placed = rest.join(roots, "node", "left").select("b", "band", "node", F.coalesce("root", "node").alias("comp"))
-        sizes = placed.groupBy("b", "comp").agg(F.count("*").alias("n"))
-        open_ = sizes.groupBy("b").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main")).where("k > 1")
-        parts = lambda n: F.ceil(n / CHUNK)
-        open_ = open_.select("b", F.col("main.comp").alias("main"), parts(F.col("n")).alias("n_right"), parts(F.col("n") - F.col("main.n")).alias("n_left"))
-        here = stage.put(placed.join(open_, "b").join(sketches, "node"))
-        if here.isEmpty():
-            break
-        packed = F.collect_list(F.struct("node", "comp", "sketch"))
+    placed = rest.join(roots, "node", "left").select("b", "band", "node", "size", F.coalesce("root", "node").alias("comp"))
+    sizes = placed.groupBy("b", "comp").agg(F.struct(F.count("*").alias("n"), F.sum("size").alias("size"), F.first("comp").alias("comp")).alias("one"))
+    open_ = sizes.groupBy("b").agg(F.count("*").alias("k"), F.sum("one.n").alias("n"), F.sum("one.size").alias("size"), F.max("one").alias("main")).where("k > 1")
+    parts = lambda n, size: F.ceil(F.greatest(n / CHUNK, size / CHUNK_SHINGLES))
+    n_right, n_left = parts(F.col("n"), F.col("size")), parts(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))
+    open_ = open_.select("b", F.col("main.comp").alias("main"), n_right.alias("n_right"), n_left.alias("n_left"))
+    here = stage.put(placed.drop("size").join(open_, "b"))
+    if not here.isEmpty():
+        looks = sketches.join(texts.dropDuplicates(["node"]), "node")
+        packed = F.collect_list(F.struct("node", "comp", "sketch", "text"))
         keys = [F.pmod(F.xxhash64("node"), F.col(f"n_{side}")) for side in ("left", "right")]
-        left = here.where("comp != main").groupBy("b", keys[0].alias("l"), "n_right").agg(packed.alias("left"))
-        right = here.groupBy("b", "band", keys[1].alias("r"), "n_left").agg(packed.alias("right"))
+        full = here.join(looks, "node")
+        left = full.where("comp != main").groupBy("b", keys[0].alias("l"), "n_right").agg(packed.alias("left"))
+        right = full.groupBy("b", "band", keys[1].alias("r"), "n_left").agg(packed.alias("right"))
         left = left.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_right") - 1)))
         right = right.withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1)))
-        near = left.join(right, ["b", "l", "r"]).select("band", "left", "right").mapInArrow(_compare(best_only), "node long, other long, agree long")
-        if best_only:
-            w = Window.partitionBy("node").orderBy(F.col("agree").desc(), "other")
-            near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= BEST)
-        pairs = stage.put(near.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
+        more = stage.put(left.join(right, ["b", "l", "r"]).select("band", "left", "right").mapInArrow(_compare, "a long, b long"))
         # The components so far are a forest of their own, so only new links are added to it.
-        more = verified(pairs, pairs.count())
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
-        stage.drop(here)
-        roots = components(links, stage)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), stage)
     group = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     stage.drop(rest, texts)
     out = signed.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
