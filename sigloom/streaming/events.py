@@ -77,8 +77,12 @@ class Online:
         return out
 
 
-def detect_stream(samples: DataFrame, params: Detection = Detection(), idle_ms: int = 60_000) -> DataFrame:
-    """Events of a stream of (read long, i long, x double), as they close; a read that is idle for idle_ms ends."""
+def detect_stream(samples: DataFrame, params: Detection = Detection(), idle_ms: int | None = 60_000) -> DataFrame:
+    """Events of a stream of (read long, i long, x double), as they close.
+
+    A read that is idle for idle_ms ends, and its last events come out; None keeps reads open, which a trigger that
+    stops by itself needs (a pending timeout always asks for another batch).
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         online = Online(params, state.get if state.exists else None)
@@ -89,7 +93,9 @@ def detect_stream(samples: DataFrame, params: Detection = Detection(), idle_ms:
             frame = pd.concat(list(parts)).sort_values("i")
             rows = online.feed(frame["x"].to_numpy())
             state.update(online.state())
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], *r) for r in rows], columns=["read", "start", "length", "mean", "stdv"])
 
-    return samples.groupBy("read").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return samples.groupBy("read").applyInPandasWithState(run, _OUT, _STATE, "append", timeout)
