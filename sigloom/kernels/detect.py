@@ -73,7 +73,11 @@ class Detector:
 
 
 class PeakFinder:
-    """Both detectors on a stream of scores; a short peak over its threshold silences the long detector for its window."""
+    """Both detectors on a stream of scores.
+
+    While the short one holds a peak over its threshold, from the sample after the peak began on, it silences the
+    long one for its window.
+    """
 
     def __init__(self, p: Detection = Detection()):
         self.short = Detector(p.short, p.short_threshold, p.height)
@@ -81,9 +85,10 @@ class PeakFinder:
 
     def see(self, i: int, short: float, long: float) -> list[int]:
         found = []
+        holding = self.short.at >= 0
         for d, now in ((self.short, short), (self.long, long)):
             peak = d.see(i, now)
-            if d is self.short and d.at >= 0 and d.masked_to < i and d.value > d.threshold:
+            if d is self.short and holding and d.value > d.threshold:
                 self.long.masked_to = d.at + d.window
                 self.long.reset(np.inf)
             if peak is not None:

@@ -46,6 +46,44 @@ def test_shift_and_scale_leave_events():
     assert len(a["start"]) > 10
 
 
+def plain_peaks(scores, p):
+    """The rules as one table of states."""
+    st = [{"at": -1, "v": np.inf, "ok": False, "mask": 0, "w": w, "t": t} for w, t in ((p.short, p.short_threshold), (p.long, p.long_threshold))]
+    out = []
+    for i, row in enumerate(zip(*scores)):
+        for d, x in zip(st, row):
+            if d["mask"] >= i:
+                continue
+            if d["at"] < 0:
+                if x < d["v"]:
+                    d["v"] = x
+                elif x - d["v"] > p.height:
+                    d.update(v=x, at=i)
+                continue
+            if x > d["v"]:
+                d.update(v=x, at=i)
+            if d is st[0] and d["v"] > d["t"]:
+                st[1].update(mask=d["at"] + d["w"], at=-1, v=np.inf, ok=False)
+            d["ok"] |= bool(d["v"] - x > p.height and d["v"] > d["t"])
+            if d["ok"] and i - d["at"] > d["w"] // 2:
+                out.append(d["at"])
+                d.update(at=-1, v=x, ok=False)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("threshold", [9.0, 3.0, 1.0])
+def test_peaks_against_a_plain_program(threshold):
+    p, found = D.Detection(long_threshold=threshold), 0
+    for _ in range(40):
+        x = np.repeat(rng.normal(0, 3, 40), rng.integers(3, 12, 40))
+        x = x + rng.normal(0, 0.8, len(x))
+        scores = D.t_statistic(x, 3), D.t_statistic(x, 6)
+        got = D.peaks(*scores, p).tolist()
+        assert got == plain_peaks(scores, p)
+        found += len(got)
+    assert found > 100
+
+
 def test_trim():
     x = np.concatenate((np.full(300, 5.0), rng.normal(0, 3, 500), np.full(250, 5.0)))
     assert D.trim_by_mad(x, 100, 0.0) == (300, 800)
