@@ -43,7 +43,6 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/sigloom/{name}-{uuid.uuid4().hex}"
         self.made = 0
-        self.paths: dict[int, str] = {}
 
     def put(self, df: DataFrame, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
         """rows: about how many there will be, where that is known; a small table then goes to few files, not to one a partition."""
@@ -53,7 +52,6 @@ class Stage:
             df = df.coalesce(max(LEAST_FILES, -(-rows // per_file)))
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._sigloom_path = path
         return out
 
@@ -71,7 +69,7 @@ def narrow(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in cols.items()])
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = CHUNK_BYTES, max_rows: int = 4096) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with their text as bytes: (rows, uint8 buffer, offsets). Null is empty."""
     for rb in batches:
         if not rb.num_rows:
@@ -85,7 +83,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
         data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         at = 0
         while at < rb.num_rows:
-            to = max(at + 1, int(np.searchsorted(offs, offs[at] + max_bytes, "right")) - 1)
+            to = min(at + max_rows, max(at + 1, int(np.searchsorted(offs, offs[at] + max_bytes, "right")) - 1))
             yield rb.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
 

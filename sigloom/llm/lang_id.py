@@ -33,6 +33,8 @@ BITS = 15
 HELD_OUT = 2
 #: A margin under this makes a prediction ambiguous.
 AMBIGUOUS = 0.05
+#: Texts that are turned into features at a time.
+ROWS = 256
 _LETTER = regex.compile(r"\p{L}")
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
@@ -95,7 +97,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rb, buf, offs in text_chunks(batches, "text"):
+    for rb, buf, offs in text_chunks(batches, "text", max_rows=ROWS):
         yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([v.astype(np.float16).tobytes() for v in features(buf, offs)], pa.binary())], names=["lang", "vector"])
 
 
@@ -132,7 +134,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
 def _predictor(model: Model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb, buf, offs in text_chunks(batches, "text"):
+        for rb, buf, offs in text_chunks(batches, "text", max_rows=ROWS):
             texts = rb.column(rb.schema.get_field_index("text"))
             letters = np.array([bool(t.as_py() and _LETTER.search(t.as_py())) for t in texts])
             best, score, doubt = model.decode(features(buf, offs) @ model.weights + model.bias)

@@ -61,6 +61,7 @@ def suffixes(host: Column) -> Column:
 class Level:
     bits: int
     hashes: int
+    seed: int
     data: bytes
 
     def holds(self, key: Column) -> Column:
@@ -68,7 +69,7 @@ class Level:
             byte = F.conv(F.hex(F.substring(F.lit(self.data), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
             return F.getbit(byte, (at % 8).cast("int")) == 1
 
-        return all_of([bit(at) for at in places(key, self.bits, self.hashes)])
+        return all_of([bit(at) for at in places(key, self.bits, self.hashes, self.seed)])
 
 
 def all_of(tests: list[Column]) -> Column:
@@ -78,20 +79,21 @@ def all_of(tests: list[Column]) -> Column:
     return out
 
 
-def places(key: Column, bits: int, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(i), key), F.lit(bits)) for i in range(hashes)]
+def places(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
+    """Positions of a key; every level hashes with seeds of its own, or two keys that clash once would clash at every level."""
+    return [F.pmod(F.xxhash64(F.lit(1000 * seed + i), key), F.lit(bits)) for i in range(hashes)]
 
 
-def bloom(keys: DataFrame, n: int, bits_per_key: float) -> Level:
+def bloom(keys: DataFrame, n: int, bits_per_key: float, seed: int = 0) -> Level:
     """A Bloom filter of the column ``key``: 64-bit words, or-ed together by word before they reach the driver."""
     bits = max(64, 64 * math.ceil(n * bits_per_key / 64))
     hashes = max(1, round(bits_per_key * math.log(2)))
-    at = keys.select(F.explode(F.array(*places(F.col("key"), bits, hashes))).alias("at"))
+    at = keys.select(F.explode(F.array(*places(F.col("key"), bits, hashes, seed))).alias("at"))
     words = at.groupBy((F.col("at") / 64).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))  # at most bits / 64 rows
     full = bytearray(bits // 8)
     for w, v in words.collect():
         full[8 * w : 8 * w + 8] = v.to_bytes(8, "little", signed=True)
-    return Level(bits, hashes, bytes(full))
+    return Level(bits, hashes, seed, bytes(full))
 
 
 @dataclass(frozen=True)
@@ -122,10 +124,10 @@ def cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     # Level 0 lets about as many others through as there are listed keys; each next level errs on half of what it sees.
     bits = max(2.0, min(64.0, 1.44 * math.log2(max(2.0, n_out / n_in)) + 1))
     while sizes[0]:
-        levels.append(bloom(sides[0], sizes[0], bits))
+        levels.append(bloom(sides[0], sizes[0], bits, len(levels)))
         wrong = stage.put(sides[1].where(levels[-1].holds(F.col("key"))))
         sides, sizes = [wrong, sides[0]], [wrong.count(), sizes[0]]
-        bits = 2.0 if len(levels) < 8 else 8.0
+        bits = 2.0
     stage.drop(inside, outside, *sides)
     return Cascade(tuple(levels))
 
