@@ -102,7 +102,8 @@ def repeated_lines(docs: DataFrame, stage: Stage, batches: int = BATCHES, fanout
     store = LineRuns(stage, fanout)
     for k in range(batches):
         store.add(lines.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k) if batches > 1 else lines)
-    common = store.totals().where(F.col("n_docs") >= LEAST_DOCS).select("h1", "h2", "last_doc")
+    # Written, so that the join reads it as it is: a frequent line's rows can then be split among tasks.
+    common = stage.put(store.totals().where(F.col("n_docs") >= LEAST_DOCS).select("h1", "h2", "last_doc"))
     lost = lines.join(common, ["h1", "h2"]).where("doc != last_doc")
     return lost.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
 
