@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from sigloom.llm._common import narrow, splitmix, text_chunks
 
 PER_LANGUAGE = 400
+SALTS = 64
 FEATURES = 4096
 #: Bits of a codeword at least; a random code of this length keeps codewords some 8 bits apart.
 BITS = 15
@@ -104,8 +105,11 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on a bounded sample; None without a labelled row. docs: doc_id, text, lang."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language).select(F.col("doc_id").alias("picked"), F.col("lang").alias("label"))
+    picked = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    for keys in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):  # the smallest of each salt first: no task gets more than SALTS * per_language rows
+        w = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        picked = picked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language).drop("rank")
+    picked = picked.select(F.col("doc_id").alias("picked"), F.col("lang").alias("label"))
     # At most per_language rows of a language: small enough to broadcast.
     rows = usable.join(F.broadcast(picked.distinct()), (F.col("doc_id") == F.col("picked")) & (F.col("lang") == F.col("label")))
     rows = rows.select(F.col("lang").cast("string"), "text").mapInArrow(_vectors, "lang string, vector binary").collect()
