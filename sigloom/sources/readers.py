@@ -82,6 +82,13 @@ def crp(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInArrow(run, "file string, matrix array<array<double>>")
 
 
+def random_matrices(spark: SparkSession, n: int, rows: int, blocks: int, lower: float = -1.0, upper: float = 1.0, seed: int = 0) -> DataFrame:
+    """id, matrix: n uniform random matrices, for tests; the seed and the id decide each."""
+    cell = lambda i, j: (F.pmod(F.xxhash64(F.lit(seed), "id", i, j), F.lit(2**53)) / float(2**53)) * (upper - lower) + lower
+    block = lambda i: F.transform(F.sequence(F.lit(1), F.lit(rows)), lambda j: cell(i, j))
+    return spark.range(n).withColumn("matrix", F.transform(F.sequence(F.lit(1), F.lit(blocks)), block))
+
+
 def _decode_fast5(content: bytes) -> dict:
     """The first read by name; scaling is NaN where its attributes are missing."""
     try:

@@ -33,6 +33,12 @@ def test_crp_round_trip(spark, tmp_path):
     assert back == m.tolist()
 
 
+def test_random_matrices(spark):
+    a, b = (readers.random_matrices(spark, 20, 4, 3, -2.0, 2.0, seed).orderBy("id").collect() for seed in (1, 1))
+    x = np.array([r.matrix for r in a])
+    assert a == b and x.shape == (20, 3, 4) and x.min() >= -2 and x.max() < 2 and abs(x.mean()) < 0.3 and len(np.unique(x)) == x.size
+
+
 def test_scaling(spark):
     df = spark.createDataFrame([([1.0, 2.0], 16.0, 1373.41, 8192.0)], "adc array<double>, offset double, range double, digitisation double")
     assert readers.scaled(df).first().signal == pytest.approx([17 * 1373.41 / 8192, 18 * 1373.41 / 8192])
