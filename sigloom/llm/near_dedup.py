@@ -120,9 +120,10 @@ def _sets(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of two chunks of a bucket's members (node, comp, sketch, text), the similar pairs of different components.
+    """Of two chunks of a bucket's members (node, comp, sketch, text, bands), the similar pairs of different components.
 
-    A pair is looked at in the first band that it shares only; its sketches decide whether its sets are compared.
+    A pair is looked at in the first band whose keys agree only, as sketches may agree by chance in a band of which
+    it shares no bucket; its sketches decide whether its sets are compared.
     """
     for rb in batches:
         out_a, out_b = [], []
@@ -130,12 +131,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = rb.column(0)[i].as_py()
             left, right = rb.column(1)[i].values, rb.column(2)[i].values
             (ln, lc, ls), (rn, rc, rs) = ((x.field(0).to_numpy(), x.field(1).to_numpy(), np.frombuffer(b"".join(x.field(2).to_pylist()), np.uint8).reshape(-1, SLOTS)) for x in (left, right))
+            lk, rk = (x.field(4).flatten().to_numpy().reshape(-1, BANDS) for x in (left, right))
             todo: dict[int, np.ndarray] = {}
             for k, (comp, sketch) in enumerate(zip(lc.tolist(), ls, strict=True)):
-                same = rs == sketch
-                at = np.flatnonzero((same.sum(axis=1) >= LEAST_AGREE) & (rc != comp))
+                at = np.flatnonzero(((rs == sketch).sum(axis=1) >= LEAST_AGREE) & (rc != comp))
                 if len(at):
-                    at = at[same[at].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+                    at = at[(rk[at] == lk[k]).argmax(axis=1) == band]
                 if len(at):
                     todo[k] = at
             if todo:
@@ -233,6 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = members.join(reach, "node").groupBy("b").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("hub"))
     rest = stage.put(members.join(hubs, "b").where("node != hub").select("b", "band", "node", "size", "hub"))
     sketches = classes.select("node", "sketch")
+    keyed = classes.select("node", "sketch", "bands")
     needed = members.select("node").distinct()
     texts = stage.put(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(needed, "node", "left_semi"))
     stage.drop(members)
@@ -256,8 +258,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = open_.select("b", F.col("main.comp").alias("main"), n_right.alias("n_right"), n_left.alias("n_left"))
     here = stage.put(placed.drop("size").join(open_, "b"))
     if not here.isEmpty():
-        looks = sketches.join(texts.dropDuplicates(["node"]), "node")
-        packed = F.collect_list(F.struct("node", "comp", "sketch", "text"))
+        looks = keyed.join(texts.dropDuplicates(["node"]), "node")
+        packed = F.collect_list(F.struct("node", "comp", "sketch", "text", "bands"))
         keys = [F.pmod(F.xxhash64("node"), F.col(f"n_{side}")) for side in ("left", "right")]
         full = here.join(looks, "node")
         left = full.where("comp != main").groupBy("b", keys[0].alias("l"), "n_right").agg(packed.alias("left"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,21 @@ def test_against_brute_force(docs, texts):
     check(N.near_duplicates(docs), texts)
 
 
+@pytest.mark.parametrize("band", [0, 7, 9])
+def test_chance_bytes_in_an_earlier_band(band):
+    """Sketches agree in every band, keys in bands 7 and 9 only: the pair is found in band 7."""
+    keys = np.arange(2 * N.BANDS, dtype=np.int64).reshape(2, -1)
+    keys[1, [7, 9]] = keys[0, [7, 9]]
+    text = " ".join(f"w{i}" for i in range(40))
+    member = pa.struct({"node": pa.int64(), "comp": pa.int64(), "sketch": pa.binary(), "text": pa.string(), "bands": pa.list_(pa.int64())})
+    a, b = ([{"node": i, "comp": i, "sketch": bytes(N.SLOTS), "text": text, "bands": keys[i].tolist()}] for i in (0, 1))
+    # A row before it, of other buckets, shifts the values.
+    far = [{"node": i, "comp": i, "sketch": bytes([i]) * N.SLOTS, "text": text, "bands": [i] * N.BANDS} for i in (5, 6)]
+    rb = pa.RecordBatch.from_arrays([pa.array([3, band], pa.int32()), pa.array([far[:1], a], pa.list_(member)), pa.array([far, b], pa.list_(member))], names=["band", "left", "right"])
+    got = [(x["a"], x["b"]) for out in N._compare(iter([rb])) for x in out.to_pylist()]
+    assert got == ([(0, 1)] if band == 7 else [])
+
+
 def copies(rng, base, n, edits):
     out = []
     for _ in range(n):
