@@ -385,8 +385,10 @@ def crf_viterbi(spark, sf_dir):
 
 @query()
 def crf_decode(spark, sf_dir):
-    """Best path, bases and state probabilities."""
-    out = reads.crf_posterior(reads.decode_crf(_matrices(spark, sf_dir, 25).withColumnRenamed("m", "post")))
+    """Best path, bases and state probabilities; a vector is eight blocks of eight features, scored as by rnnrf_r94's last layer."""
+    p = networks.random_parameters("rnnrf_r94")
+    score = lambda m: (layers.global_norm(m.reshape(-1, 8), p["globalnorm_W"], p["globalnorm_b"]),)
+    out = reads.crf_posterior(reads.decode_crf(reads.per_read(_matrices(spark, sf_dir), score, ["m"], "post array<array<double>>")))
     return out.select("read_id", r6("score").alias("score"), "bases", F.size("path").alias("n_path"), r6(N.total(F.flatten("base_probs"))).alias("mass"))
 
 
@@ -530,14 +532,16 @@ def path_squiggle(spark, sf_dir):
 # ---- recurrent layers ---------------------------------------------------------------------------------------
 @query()
 def gru(spark, sf_dir):
+    """A vector is eight blocks of eight features."""
     p = networks.random_parameters("raw_r94")
-    run = lambda m: (layers.gru(m[:, :8], p["gruF1_iW"], p["gruF1_b"], p["gruF1_sW"], p["gruF1_sW2"]),)
-    return _cells(reads.per_read(_matrices(spark, sf_dir, 8), run, ["m"], "h array<array<double>>"), "h")
+    run = lambda m: (layers.gru(m.reshape(-1, 8), p["gruF1_iW"], p["gruF1_b"], p["gruF1_sW"], p["gruF1_sW2"]),)
+    return _cells(reads.per_read(_matrices(spark, sf_dir), run, ["m"], "h array<array<double>>"), "h")
 
 
 @query()
 def lstm(spark, sf_dir):
+    """A vector is sixteen blocks of four features; windows of three of them, as in the events network."""
     p = networks.random_parameters("events")
-    run = lambda m: (layers.lstm(m[:, :12], p["lstmB1_iW"], p["lstmB1_b"], p["lstmB1_sW"], p["lstmB1_p"], True),)
-    return _cells(reads.per_read(_matrices(spark, sf_dir, 12), run, ["m"], "h array<array<double>>"), "h")
+    run = lambda m: (layers.lstm(layers.window(m.reshape(-1, 4), 3), p["lstmB1_iW"], p["lstmB1_b"], p["lstmB1_sW"], p["lstmB1_p"], True),)
+    return _cells(reads.per_read(_matrices(spark, sf_dir), run, ["m"], "h array<array<double>>"), "h")
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -20,6 +21,27 @@ def test_runs(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize("name", ["crf_decode", "gru", "lstm"])
+def test_whole_vectors(spark, tmp_path, name):
+    """Each of a vector's eight parts of eight features counts."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(3, 64))
+    tables = [m.copy() for _ in range(9)]
+    for k in range(8):
+        tables[k][2, 8 * k + 7] += 3.0
+    rows = [(n, i, v.tolist()) for n, t in enumerate(tables) for i, v in enumerate(t)]
+    spark.createDataFrame(rows, "label int, vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = {}
+    for r in catalog.QUERIES[name](spark, str(tmp_path)).collect():
+        out.setdefault(r.read_id, []).append(tuple(r)[1:])
+    out = {k: sorted(v) for k, v in out.items()}
+    assert len(out) == 9 and all(out[k] != out[8] for k in range(8))
+    if name == "crf_decode":
+        assert out[8][0][2] == 3 * 8 + 1
+    else:
+        assert len(out[8]) == 3 * 64 * (1 if name == "gru" else 2)
+
+
 def test_pushdown(spark, sf_dir):
     plan = catalog.QUERIES["signal_mad"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<user_id:bigint,value:double>" in plan and "IsNotNull(value)" in plan
