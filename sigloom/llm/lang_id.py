@@ -45,12 +45,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == HELD_OUT, F.lit(False))
 
 
-def _grams(buf: np.ndarray) -> np.ndarray:
-    """Feature of the three bytes that begin at each position; digits count as one."""
+def _grams(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Feature of the three bytes that begin at each position; digits count as one, bytes beyond a text's end as zero."""
     b = _LOWER[buf]
     b = np.where((b >= 48) & (b <= 57), np.uint64(48), b)
     b = np.concatenate((b, np.zeros(2, np.uint64)))
-    key = b[:-2] | (b[1:-1] << np.uint64(8)) | (b[2:] << np.uint64(16))
+    second, third = b[1:-1].copy(), b[2:].copy()
+    size, ends = np.diff(offs), offs[1:]
+    second[ends[size > 0] - 1] = 0
+    third[ends[size > 0] - 1] = 0
+    third[ends[size > 1] - 2] = 0
+    key = b[:-2] | (second << np.uint64(8)) | (third << np.uint64(16))
     return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 12)).astype(np.intp)
 
 
@@ -93,7 +98,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Root frequencies of n-gram features, float32 of shape (texts, FEATURES)."""
     n = len(offs) - 1
     owner = np.repeat(np.arange(n), np.diff(offs))
-    counts = np.bincount(owner * FEATURES + _grams(buf), minlength=n * FEATURES).reshape(n, FEATURES)
+    counts = np.bincount(owner * FEATURES + _grams(buf, offs), minlength=n * FEATURES).reshape(n, FEATURES)
     return np.sqrt(counts / np.maximum(1, np.diff(offs))[:, None]).astype(np.float32)
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -179,6 +180,28 @@ def test_language_odd_rows(spark, odd, empty):
     assert {r.lang_pred for r in lang_id.detect_languages(single).collect()} <= {"en", "und"}
 
 
+def test_language_features_alone_and_in_a_batch():
+    texts = ["no", "", "a", "", "été", "the end", "x", "no", "zz top 12", "", "no"]
+    raw = [t.encode() for t in texts]
+    offs = lambda part: np.concatenate(([0], np.cumsum([len(r) for r in part]))).astype(np.int64)
+    of = lambda part: lang_id.features(np.frombuffer(b"".join(part), np.uint8), offs(part))
+    batch = of(raw)
+    for i, r in enumerate(raw):
+        assert (of([r])[0] == batch[i]).all()
+
+
+def test_language_scores_alone_and_in_a_batch():
+    rng = np.random.default_rng(5)
+    words = lang_id.codewords(4).astype(np.float32)
+    bits = words.shape[1]
+    model = lang_id.Model(list("abcd"), words, rng.normal(size=(lang_id.FEATURES, bits)).astype(np.float32), np.zeros(bits, np.float32), np.full(bits, 1 / bits))
+    predict = lang_id._predictor(model)
+    run = lambda texts: [(r["lang_pred"], r["score"]) for rb in predict(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])) for r in rb.to_pylist()]
+    texts = ["no", "ja", "the end", "no", "x", "no"]
+    for t, (lang, score) in zip(texts, run(texts), strict=True):
+        assert run([t])[0][0] == lang and run([t])[0][1] == pytest.approx(score, abs=1e-5)
+
+
 def test_codewords_and_ambiguity():
     for n in (2, 4, 9, 20):
         w = lang_id.codewords(n)
