@@ -14,7 +14,8 @@ from sigloom.llm import lang_id, line_dedup, near_dedup, packing, secrets
 from sigloom.llm._common import Stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document goes if its language is undetermined: it has no letters, or the nearest codewords are a tie.
+#: A document goes if its language is undetermined: it has no letters, or the nearest codewords are an exact tie.
+#: Others that language ID flags as ambiguous stay.
 LEAST_SCORE = 0.5
 
 
@@ -24,8 +25,12 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language. Ambiguous ones stay, exact ties go; without a training row, all with letters stay."""
     docs = docs.select(*COLUMNS)
-    found = lang_id.predict(docs, lang_id.train(docs))
+    model = lang_id.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = lang_id.predict(docs, model)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") > LEAST_SCORE)).select(*COLUMNS)
 
 

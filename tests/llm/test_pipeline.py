@@ -41,6 +41,18 @@ def test_stages(spark, sf_dir):
     check_packing(five, rows(four))
 
 
+@pytest.mark.parametrize("ids", ["unlabelled", "held out"])
+def test_no_training_rows(spark, sf_dir, ids):
+    lang = None if ids == "unlabelled" else "en"
+    made = [(i, t, lang, "s", 1) for i, t in enumerate(["some words", "Ünïcode", "123 !", "", None] * 20)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    if lang:
+        docs = docs.where(pipeline.lang_id.held_out(F.col("doc_id")))
+    want = sorted((r.doc_id, r.text) for r in docs.collect() if r.text in ("some words", "Ünïcode"))
+    out = pipeline.identify_language(spark, docs, sf_dir)
+    assert want and out.columns == docs.columns and rows(out) == sorted(want, key=repr)
+
+
 def test_run(spark, sf_dir):
     out = pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
