@@ -3,8 +3,10 @@
 Each rule is written over byte classes; Thompson fragments become one combined automaton by subset
 construction, Moore refinement minimises it, and byte classes compress its transition array. One pass
 steps through the bytes of many segments at once; a segment ends at a byte that no rule can contain, so no
-match crosses one and the state is the start state there. Where the combined automaton accepts, the rule's
-own anchored automaton, built likewise, fixes leftmost, longest, non-overlapping spans.
+match crosses one and the state is the start state there. In segments where the combined automaton accepts a
+rule, one pass from the end by the automaton of the reversed rule marks the bytes at which a match begins, and the
+rule's own anchored automaton runs from such bytes alone to fix leftmost, longest, non-overlapping spans. All
+passes are linear in the text: no byte is tried as a start in vain.
 
 Cases: null and empty texts have no spans; repeated rows give repeated results; an empty table gives an
 empty result; extra columns are ignored. Spans are in code points, end exclusive.
@@ -47,6 +49,8 @@ class Rule:
     """least: a shorter match is dropped after matching; of an assignment, the value counts.
 
     Long counts stay out of the patterns, but for hex: side by side they would multiply the automaton's states.
+    Once a pattern matches, it matches with each further byte or never again (checked on compiling), so the longest
+    match is found without reading past it.
     """
 
     kind: str
@@ -164,17 +168,30 @@ def compile_rules(patterns: list[tuple], anywhere: bool) -> Automaton:
     return Automaton(byte_class, len(names), np.array(rows, np.uint16).reshape(-1), np.array(marks, np.uint32), dead)
 
 
+def mirrored(p: tuple) -> tuple:
+    """The rule that matches the same strings read from their end."""
+    kind, *rest = p
+    if kind == "set":
+        return p
+    parts = [mirrored(x) for x in rest]
+    return (kind, *(parts[::-1] if kind == "cat" else parts))
+
+
 @cache
 def _compiled(rules: tuple[Rule, ...]) -> tuple:
     whole = compile_rules([r.pattern for r in rules], True)
-    each = []
+    each, back = [], []
     for r in rules:
         d = compile_rules([r.pattern], False)
         cls = d.byte_class.tolist()
         rows = d.next.reshape(-1, d.classes).tolist()
-        each.append(([[row[c] for c in cls] for row in rows], [bool(x) for x in d.accept], d.dead))
+        accept = [bool(x) for x in d.accept]
+        if any(accept[s] and not accept[t] and t != d.dead for s, row in enumerate(rows) for t in row):
+            raise ValueError(f"the rule {r.kind} may go on after a match without matching")
+        each.append(([[row[c] for c in cls] for row in rows], accept, d.dead))
+        back.append(compile_rules([mirrored(r.pattern)], True))
     to_start = (whole.next.reshape(-1, whole.classes) == 0).all(axis=0)
-    return whole, to_start[whole.byte_class], each
+    return whole, to_start[whole.byte_class], each, back
 
 
 def trace(auto: Automaton, cls: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -203,29 +220,27 @@ def trace(auto: Automaton, cls: np.ndarray, starts: np.ndarray, ends: np.ndarray
     return out
 
 
-def _matches(dfa: tuple, data: bytes) -> Iterator[tuple[int, int]]:
-    """Leftmost, longest, non-overlapping."""
+def _matches(dfa: tuple, data: bytes, starts: list[int]) -> Iterator[tuple[int, int]]:
+    """Leftmost, longest, non-overlapping; starts are the bytes at which a match begins, in order."""
     rows, accept, dead = dfa
-    at, n = 0, len(data)
-    while at < n:
-        s, end, i = 0, -1, at
+    done, n = 0, len(data)
+    for at in starts:
+        if at < done:
+            continue
+        s, i = 0, at
         while i < n:
             s = rows[s][data[i]]
-            i += 1
             if s == dead:
                 break
+            i += 1
             if accept[s]:
-                end = i
-        if end > at:
-            yield at, end
-            at = end
-        else:
-            at += 1
+                done = i
+        yield at, done
 
 
-def scan(buf: np.ndarray, offs: np.ndarray, rules: tuple[Rule, ...] = RULES) -> dict[int, list[tuple[int, int, int]]]:
+def scan(buf: np.ndarray, offs: np.ndarray, rules: tuple[Rule, ...] = RULES, compiled: tuple | None = None) -> dict[int, list[tuple[int, int, int]]]:
     """text number -> [(start, end, rule number)] in bytes of the text, sorted; only texts with spans."""
-    auto, cuts, each = _compiled(rules)
+    auto, cuts, each, back = compiled or _compiled(rules)
     if not len(buf):
         return {}
     cut = cuts[buf]
@@ -239,20 +254,27 @@ def scan(buf: np.ndarray, offs: np.ndarray, rules: tuple[Rule, ...] = RULES) ->
     marks = auto.accept[trace(auto, auto.byte_class[buf], starts, ends)]
     at = np.flatnonzero(marks)
     segment = np.searchsorted(starts, at, "right") - 1
-    hits: dict[int, int] = {}
-    for s, m in zip(segment.tolist(), marks[at].tolist(), strict=True):
-        hits[s] = hits.get(s, 0) | m
+    hits = np.zeros(len(starts), np.uint32)
+    np.bitwise_or.at(hits, segment, marks[at])
     found: dict[int, list[tuple[int, int, int]]] = {}
-    raw = buf.tobytes()
-    for s, mask in hits.items():
-        a, b = int(starts[s]), int(ends[s])
-        text = int(np.searchsorted(offs, a, "right")) - 1
-        base, data = a - int(offs[text]), raw[a:b]
-        for r, rule in enumerate(rules):
-            if mask >> r & 1:
-                for x, y in _matches(each[r], data):
-                    if (_value_length(data[x:y]) if rule.kind == "assign" else y - x) >= rule.least:
-                        found.setdefault(text, []).append((base + x, base + y, r))
+    for r, rule in enumerate(rules):
+        own = np.flatnonzero(hits >> np.uint32(r) & np.uint32(1))
+        if not len(own):
+            continue
+        # The segments of this rule, side by side and from their ends.
+        size = ends[own] - starts[own]
+        last = np.cumsum(size)
+        first = last - size
+        place = np.arange(int(last[-1])) - np.repeat(first, size)
+        mirror = back[r].byte_class[buf[np.repeat(ends[own] - 1, size) - place]]
+        begins = back[r].accept[trace(back[r], mirror, first, last)] > 0
+        for s, f, e in zip(own.tolist(), first.tolist(), last.tolist(), strict=True):
+            a, b = int(starts[s]), int(ends[s])
+            text = int(np.searchsorted(offs, a, "right")) - 1
+            base, data = a - int(offs[text]), buf[a:b].tobytes()
+            for x, y in _matches(each[r], data, (e - f - 1 - np.flatnonzero(begins[f:e])[::-1]).tolist()):
+                if (_value_length(data[x:y]) if rule.kind == "assign" else y - x) >= rule.least:
+                    found.setdefault(text, []).append((base + x, base + y, r))
     return {k: sorted(v, key=lambda m: (m[0], m[2], m[1])) for k, v in found.items()}
 
 
@@ -274,20 +296,25 @@ def code_points(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[in
 _BASE = ("assign", "access", "hex")
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [r.kind for r in RULES]
-    for rb, buf, offs in text_chunks(batches, "text", 4 << 20):
-        found = scan(buf, offs)
-        spans = [code_points(buf[offs[i] : offs[i + 1]].tobytes(), found[i]) if i in found else [] for i in range(rb.num_rows)]
-        rows = [[{"kind": kinds[r], "start": a, "end": b} for a, b, r in x] for x in spans]
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
+def _scanner():
+    compiled = _compiled(RULES)  # on the driver, once; workers get the arrays
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [r.kind for r in RULES]
+        for rb, buf, offs in text_chunks(batches, "text", 4 << 20):
+            found = scan(buf, offs, compiled=compiled)
+            spans = [code_points(buf[offs[i] : offs[i + 1]].tobytes(), found[i]) if i in found else [] for i in range(rb.num_rows)]
+            rows = [[{"kind": kinds[r], "start": a, "end": b} for a, b, r in x] for x in spans]
+            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
+
+    return run
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans (array of kind, start, end; by start, then the rules' order): one row for each row of docs."""
     docs = narrow(docs, doc_id=id_col, text=text_col)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scanner(), "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
@@ -309,18 +336,23 @@ def redact_text(text: str, spans: list) -> str:
     return "".join([*out, text[at:]])
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rb, buf, offs in text_chunks(batches, "text", 4 << 20):
-        found = scan(buf, offs)
-        if found:
-            i = rb.schema.get_field_index("text")
-            texts = rb.column(i).to_pylist()
-            for k, spans in found.items():
-                texts[k] = redact_text(texts[k], [(RULES[r].kind, a, b) for a, b, r in code_points(buf[offs[k] : offs[k + 1]].tobytes(), spans)])
-            rb = rb.set_column(i, rb.schema.field(i), pa.array(texts, rb.schema.field(i).type))
-        yield rb
+def _redactor():
+    compiled = _compiled(RULES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb, buf, offs in text_chunks(batches, "text", 4 << 20):
+            found = scan(buf, offs, compiled=compiled)
+            if found:
+                i = rb.schema.get_field_index("text")
+                texts = rb.column(i).to_pylist()
+                for k, spans in found.items():
+                    texts[k] = redact_text(texts[k], [(RULES[r].kind, a, b) for a, b, r in code_points(buf[offs[k] : offs[k + 1]].tobytes(), spans)])
+                rb = rb.set_column(i, rb.schema.field(i), pa.array(texts, rb.schema.field(i).type))
+            yield rb
+
+    return run
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with the column ``text`` redacted; all other columns as they are."""
-    return docs.mapInArrow(_redact, docs.schema)
+    return docs.mapInArrow(_redactor(), docs.schema)
