@@ -4,7 +4,7 @@ A document's ids and an end id are cut into whole sequences and one rest. Pieces
 to groups of about ``GROUP`` pieces; a group packs its pieces alone, longest first, each into the first
 sequence with room, which a tournament tree of the sequences' room finds in logarithmic time.
 
-Cases: a null or empty text is its end id alone; repeated rows are packed each; a null doc_id is packed like
+Cases: a null or empty text is its end id alone; very long texts of any characters are encoded whole; repeated rows are packed each; a null doc_id is packed like
 any other; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +51,25 @@ def tokenizer(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def _own_library(path: str) -> tokenizers.Tokenizer:
+    return tokenizers.Tokenizer.from_file(path)
+
+
+def encode(text: str, path: str) -> list[int]:
+    """Ids of a text. The fast encoder's pattern gives up on very long runs of blanks; the file's own library, which takes them, then encodes the text."""
+    try:
+        return tokenizer(path).encode(text, allowed_special="all")
+    except ValueError:
+        return _own_library(path).encode(text, add_special_tokens=False).ids
+
+
 def _pieces(path: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokenizer(path)
         for rb, buf, offs in text_chunks(batches, "text"):
             cols: list[list[int]] = [[], [], [], [], []]
             for row, text in enumerate(texts_of(buf, offs)):
-                ids = np.array([*enc.encode(text, allowed_special="all"), end], "<u4")
+                ids = np.array([*encode(text, path), end], "<u4")
                 for at in range(0, len(ids), length):
                     part = ids[at : at + length]
                     for c, v in zip(cols, (row, at, len(part), zlib.crc32(part.tobytes()), len(ids)), strict=True):
