@@ -56,12 +56,12 @@ class Stage:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
+        """Delete what put wrote: the frames that it returned, not ones made from them."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
-            if path := getattr(df, "_sigloom_path", None):
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
+            where = jvm.org.apache.hadoop.fs.Path(df._sigloom_path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def narrow(df: DataFrame, **cols: str) -> DataFrame:

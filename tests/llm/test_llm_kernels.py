@@ -3,6 +3,7 @@
 import hashlib
 import io
 import re
+import time
 import zlib
 
 import numpy as np
@@ -84,6 +85,34 @@ def test_added_kinds_and_redaction(spark, odd, empty):
     assert secrets.secret_digest(odd).count() == odd.count() and secrets.secret_digest(empty).count() == 0
 
 
+TOKEN = "eyJabcdef.eyJabcdef123.sig_123456789"
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["eyJ" * 20 + TOKEN, "eyJeyJa." * 9 + TOKEN + "." + TOKEN, "-----BEGIN " * 9 + "-----BEGIN RSA PRIVATE KEY----------BEGIN PRIVATE KEY-----", "token=" * 30, "AKIA" * 30, "token" * 9 + "=abcdefgh", "gh" * 9 + "ghp_" * 3 + "Z" * 40],
+)
+def test_all_rules_against_patterns(text):
+    more = [("github", r"gh[pousr]_[A-Za-z0-9]+", 40), ("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0), ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30)]
+    want = brute_spans(text) + [(k, m.start(), m.end()) for k, p, least in more for m in re.finditer(p, text) if m.end() - m.start() >= least]
+    found = secrets.scan(*chunk([text]))
+    assert sorted((secrets.RULES[r].kind, a, b) for a, b, r in found.get(0, [])) == sorted(want)
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJa.", "-----BEGIN ", "token=", "token", "token   ", 'api_key"', "AKIA", "deadbeef", "gh", "ghp_", " "])
+def test_a_megabyte_of_near_matches_takes_seconds(unit):
+    text = unit * (10**6 // len(unit)) + TOKEN + " -----BEGIN PRIVATE KEY----- token=abcdefgh"
+    secrets.scan(*chunk(["warm up"]))
+    began = time.perf_counter()
+    found = secrets.scan(*chunk([text]))
+    assert found[0] and time.perf_counter() - began < 10
+
+
+def test_a_rule_that_goes_on_after_a_match_is_refused():
+    with pytest.raises(ValueError):
+        secrets.scan(*chunk(["ab"]), (secrets.Rule("x", ("cat", secrets.word("a"), secrets.maybe(secrets.word("bc")))),))
+
+
 def test_automaton_is_minimal():
     d = secrets.compile_rules([("cat", secrets.word("ab"), ("star", ("set", frozenset(b"b"))))], False)
     assert len(d.accept) == 4  # start, a, accepting, dead
@@ -321,17 +350,25 @@ def test_tokenizer_is_the_files(texts):
         assert enc.encode(t, allowed_special="all") == tok.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("unit", [" ", "a", "^", "\n", " \n", "é "])
+def test_a_million_equal_characters(unit):
+    text = unit * (10**6 // len(unit))
+    assert packing.encode(text, PLAIN) == Tokenizer.from_file(PLAIN).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_long_blanks(spark):
+    rows = [(1, " " * 10**6), (2, "\n" * 10**6 + "<|endoftext|> x"), (3, "short")]
+    check_packing(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PLAIN), rows)
+
+
 # ---- top-k --------------------------------------------------------------------------------------------------
 def brute_top(rows, k=5, every=50):
-    best = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            best[i] = max(best.get(i, v), v)
-    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in best.items()}
+    """Every row is a query or a candidate of its own, with its vec_id repeated or not."""
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, v in whole.items():
+    for n, (q, v) in enumerate(whole):
         if q % every == 0:
-            near = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in whole.items() if c != q and len(w) == len(v))[:k]
+            near = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for m, (c, w) in enumerate(whole) if m != n and len(w) == len(v))[:k]
             out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(near)]
     return sorted(out)
 
@@ -343,16 +380,39 @@ def got_top(df):
 def test_top_k_odd_rows(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(i, rng.integers(-3, 3, 4).astype(float).tolist()) for i in range(230)]
-    rows += [(100, rows[100][1]), (300, None), (350, [1.0, None, 2.0, 3.0]), (400, [float("nan")] * 4), (450, [float("inf"), 0.0, 0.0, 0.0]), (500, []), (None, [1.0] * 4), (550, [1.0, 2.0]), (551, [3.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"tile": F.lit(1), "score": F.lit("x"), "v": F.lit(2)})
-    monkeypatch.setattr(topk, "TILE", 3)  # a tree of two levels
-    monkeypatch.setattr(topk, "BLOCK", 2)
-    assert got_top(topk.search_every(df)) == brute_top(rows)
+    rows += [(100, rows[100][1]), (100, [9.0, 9.0, 9.0, 9.0]), (7, rows[8][1]), (7, rows[8][1])]  # repeated ids, with equal and other vectors
+    rows += [(300, None), (350, [1.0, None, 2.0, 3.0]), (400, [float("nan")] * 4), (450, [float("inf"), 0.0, 0.0, 0.0]), (500, []), (501, []), (None, [1.0] * 4), (550, [1.0, 2.0]), (551, [3.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"tile": F.lit(1), "score": F.lit("x"), "v": F.lit(2), "row": F.lit(3), "rows": F.lit(4)})
+    want = brute_top(rows)
+    assert got_top(topk.search_every(df)) == want
+    for name, small in (("TILE", 3), ("BLOCK", 2), ("BLOCKS", 2), ("TILES", 3), ("FAN", 2)):  # many cells and a tree of several levels
+        monkeypatch.setattr(topk, name, small)
+    assert got_top(topk.search_every(df)) == want
     assert topk.search_every(df.limit(0)).count() == 0
     few = rows[:3]
     assert got_top(topk.search_every(spark.createDataFrame(few, "vec_id long, embedding array<double>"))) == brute_top(few)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e9, 1e100])
+def test_top_k_ties_and_large_numbers(spark, scale):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), (rng.integers(-2, 3, 3) * scale).tolist()) for i in rng.permutation(200)]
+    out = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search_every(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    want = [(a, b, c, s if abs(s) < 2**63 else None) for a, b, c, s in brute_top(rows)]
+    assert out == want if scale < 1e100 else len(out) == len(want)  # beyond 38 digits scores count as equal
+
+
+def test_running_top():
+    """Tiles of equal scores, fewer candidates than k, and the query's own row."""
+    q, rows = np.array([[1.0, 0.0], [0.0, 1.0]]), np.arange(6)
+    top = topk.Top(2, 3)
+    for lo in range(0, 6, 2):
+        top.see(q, np.array([0, 9]), rows[lo : lo + 2] + 10, rows[lo : lo + 2], np.ones((2, 2)))
+    assert [list(x) for x in top.lists()] == [[0, 0, 0, 1, 1, 1], [11, 12, 13, 10, 11, 12], [1, 1, 1, 1, 1, 1]]
+
+
 def test_scores_beyond_doubles():
     q, c = np.array([[2.0**40, 1.0]]), np.array([[2.0**40, 3.0], [2.0**40, 5.0]])
-    assert topk.tile_top(np.array([0]), q, np.array([1, 2]), c, 5) == ([0, 0], [2, 1], [2**80 + 5, 2**80 + 3])
+    top = topk.Top(1, 5)
+    top.see(q, np.array([7]), np.array([1, 2]), np.array([0, 1]), c)
+    assert [list(x) for x in top.lists()] == [[0, 0], [2, 1], [2**80 + 5, 2**80 + 3]]

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from test_kernels import brute_spans, check_packing  # noqa: F401
+from test_llm_kernels import brute_spans, check_packing  # noqa: F401
 from test_native import brute_lines
 from test_near_dedup import brute_groups
 
