@@ -4,13 +4,15 @@ Every language gets a binary codeword. A linear classifier over hashed byte n-gr
 decoding weighs each bit's exponential loss by the bit's accuracy on the training rows and takes the nearest
 codeword. A document is ambiguous where the two nearest codewords are about as far.
 
-Training takes at most ``PER_LANGUAGE`` labelled documents of a language (those with the smallest hash of
-doc_id), from rows whose crc32(doc_id as text) mod 4 is not 2; each is reduced to ``FEATURES`` numbers on the
-executors. Prediction reads whole texts.
+Training takes a bounded sample of the rows whose crc32(doc_id as text) mod 4 is not 2: a hash deals doc_ids to
+``SALTS`` classes, and each class gives the ``PER_SALT`` documents of a language with the smallest hashes, so a
+language has at most 448. With many languages fewer are taken, ``MOST_ROWS`` in all, but one of each language at least.
+Each is reduced to ``FEATURES`` numbers on the executors. Prediction reads whole texts.
 
 Cases: a text that is null, empty or without a letter is "und", score 0, not ambiguous; without any training
 row every document is; a null doc_id is not held out and not trained on; with one language known, it is
-predicted for all texts with letters; repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
+predicted for all texts with letters; repeated rows give repeated results, and rows that repeat a doc_id and a label
+are trained on once, with the least text; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from sigloom.llm._common import narrow, splitmix, text_chunks
 
-PER_LANGUAGE = 400
-SALTS = 64
+#: The training sample's bounds: documents of a language in each class of doc_ids, classes, and rows of all languages.
+PER_SALT, SALTS, MOST_ROWS = 7, 64, 16_384
 FEATURES = 4096
 #: Bits of a codeword at least; a random code of this length keeps codewords some 8 bits apart.
 BITS = 15
@@ -107,17 +109,30 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([v.astype(np.float16).tobytes() for v in features(buf, offs)], pa.binary())], names=["lang", "vector"])
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fit on a bounded sample; None without a labelled row. docs: doc_id, text, lang."""
+def sample(docs: DataFrame, per_salt: int = PER_SALT, salts: int = SALTS, most_rows: int = MOST_ROWS) -> DataFrame:
+    """doc_id, lang, text of the training sample: at most per_salt * salts rows of a language. docs: doc_id, text, lang."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    picked = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    for keys in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):  # the smallest of each salt first: no task gets more than SALTS * per_language rows
-        w = Window.partitionBy(*keys).orderBy("h", "doc_id")
-        picked = picked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language).drop("rank")
-    picked = picked.select(F.col("doc_id").alias("picked"), F.col("lang").alias("label"))
-    # At most per_language rows of a language: small enough to broadcast.
-    rows = usable.join(F.broadcast(picked.distinct()), (F.col("doc_id") == F.col("picked")) & (F.col("lang") == F.col("label")))
-    rows = rows.select(F.col("lang").cast("string"), "text").mapInArrow(_vectors, "lang string, vector binary").collect()
+    usable = usable.select("doc_id", F.col("lang").cast("string"), "text")
+    languages = usable.agg(F.count_distinct("lang")).first()[0]
+    if not languages:
+        return usable.limit(0)
+    each = max(1, most_rows // languages)
+    salts = min(salts, each)
+    per_salt = min(per_salt, each // salts)
+    h = F.xxhash64("doc_id")
+    # The window's first step keeps per_salt rows of a group in each task, so that is all that travels.
+    w = Window.partitionBy("lang", "salt").orderBy("h", "doc_id")
+    picked = usable.select("doc_id", "lang", h.alias("h"), F.pmod(h, F.lit(salts)).alias("salt"))
+    picked = picked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_salt)
+    picked = picked.select(F.col("doc_id").alias("picked"), F.col("lang").alias("label")).distinct()
+    # At most max(most_rows, languages) pairs: small enough to broadcast. A repeated doc_id joins all its rows, of which one stays.
+    rows = usable.join(F.broadcast(picked), (F.col("doc_id") == F.col("picked")) & (F.col("lang") == F.col("label")), "left_semi")
+    return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+
+def train(docs: DataFrame, **bounds: int) -> Model | None:
+    """Fit on a bounded sample; None without a labelled row. docs: doc_id, text, lang."""
+    rows = sample(docs, **bounds).select("lang", "text").mapInArrow(_vectors, "lang string, vector binary").collect()
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})

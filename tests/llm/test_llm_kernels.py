@@ -231,6 +231,40 @@ def test_language_scores_alone_and_in_a_batch():
         assert run([t])[0][0] == lang and run([t])[0][1] == pytest.approx(score, abs=1e-5)
 
 
+def test_language_sample_is_bounded(spark):
+    rows = [(i, f"text {i}", "en" if i % 3 else "de") for i in range(4000)] + [(1, f"again {i}", "en") for i in range(3000)] + [(i, "x", f"l{i}") for i in range(5000, 5040)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = lang_id.sample(docs).collect()
+    count = {lang: sum(r.lang == lang for r in taken) for lang in ("en", "de")}
+    assert all(0.9 * 448 < n <= 448 for n in count.values()) and len({(r.doc_id, r.lang) for r in taken}) == len(taken)
+    assert not any(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in taken)
+    assert {r.lang for r in taken} == {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    few = lang_id.sample(docs, 2, 4).collect()
+    assert sum(r.lang == "en" for r in few) == 8
+    assert lang_id.sample(docs, most_rows=10).groupBy("lang").count().where("count > 1").count() == 0
+    assert lang_id.sample(docs.where("lang is null")).count() == 0
+
+
+def test_language_decoding_against_brute_force(spark, docs, texts):
+    """The whole way again in plain Python: trigrams, margins, loss-weighted distances, the nearest codeword."""
+    model = lang_id.train(docs)
+    got = {r.doc_id: r for r in lang_id.predict(docs.select("doc_id", "text"), model).collect()}
+    for d, t in texts[:25]:
+        raw = [48 if 48 <= b <= 57 else b for b in (t or "").encode().lower()]
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert got[d].lang_pred == "und"
+            continue
+        counts = {}
+        for i in range(len(raw)):
+            a, b, c = [*raw[i : i + 3], 0, 0][:3]
+            f = ((a | b << 8 | c << 16) * 0x9E3779B97F4A7C15 % 2**64) >> 52
+            counts[f] = counts.get(f, 0) + 1
+        margins = [sum((n / len(raw)) ** 0.5 * float(model.weights[f, j]) for f, n in counts.items()) + float(model.bias[j]) for j in range(model.words.shape[1])]
+        loss = sorted((sum(float(model.trust[j]) * np.exp(-min(8, max(-8, m)) * w[j]) for j, m in enumerate(margins)), lang) for lang, w in zip(model.langs, model.words.tolist(), strict=True))
+        assert got[d].lang_pred == loss[0][1]
+        assert got[d].score == pytest.approx(0.5 + (loss[1][0] - loss[0][0]) / (loss[1][0] + loss[0][0]) / 2, abs=1e-3)
+
+
 def test_codewords_and_ambiguity():
     for n in (2, 4, 9, 20):
         w = lang_id.codewords(n)
