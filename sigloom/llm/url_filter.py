@@ -4,7 +4,8 @@ Levels alternate: level 0 encodes the listed keys, level 1 those other keys of t
 takes for listed, level 2 the listed keys that level 1 takes for others, and so on until a level makes
 no mistake. Over the keys that the corpus holds (its whole universe goes into the build), membership is
 exact, and a lookup reads a few bits of arrays inside the plan: no join. All of it is DataFrame
-expressions. A level's bits are proportional to the number of listed keys, which ``MOST_LISTED`` bounds.
+expressions. A level's bits are proportional to the number of listed keys; a list of more than ``MOST_LISTED`` keys, whose
+bits would not fit a plan, is looked up by a join of the corpus's distinct hosts instead, with the same result.
 
 Cases: a null url, or one without "://", has an empty host and path, no rule, and is allowed; an empty
 table gives an empty result; repeated rows give repeated results; extra columns are ignored.
@@ -18,13 +19,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.functions.numeric import let
 from sigloom.llm._common import Stage, narrow
 
 #: Rules of the query: (verdict, host/path). The longest that fits wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Hosts whose urls are blocked, with all subdomains, where no rule fits.
 LISTED = ("spam-farm.example.org", "spam-farm.example.net", "spam-farm.example.com", "cheap-pills.example.com", "cheap-pills.example.net", "cheap-pills.example.org", "ththon.example.com", "ththhe.example.com", "ththnd.example.net", "m.ththed.example.net")
-#: Keys that a list may hold; level 0 then takes at most 64 bits a key, 8 MB in all.
+#: Keys of a cascade; level 0 then takes at most 64 bits a key, 8 MB in all. Longer lists are joined.
 MOST_LISTED = 1_000_000
 _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -65,11 +67,13 @@ class Level:
     data: bytes
 
     def holds(self, key: Column) -> Column:
-        def bit(at: Column) -> Column:
-            byte = F.conv(F.hex(F.substring(F.lit(self.data), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        """Whether all the key's bits are set. The bits are one literal of the plan, bound to a name."""
+
+        def bit(data: Column, at: Column) -> Column:
+            byte = F.conv(F.hex(F.substring(data, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
             return F.getbit(byte, (at % 8).cast("int")) == 1
 
-        return all_of([bit(at) for at in places(key, self.bits, self.hashes, self.seed)])
+        return let(F.lit(self.data), lambda data: all_of([bit(data, at) for at in places(key, self.bits, self.hashes, self.seed)]))
 
 
 def all_of(tests: list[Column]) -> Column:
@@ -108,37 +112,49 @@ class Cascade:
         return out
 
 
-def cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """Build from listed keys and all keys of the corpus (column ``key`` each; listed ones may be absent there)."""
+def cascade(listed: DataFrame, universe: DataFrame) -> Cascade | None:
+    """Build from listed keys and all keys of the corpus (column ``key`` each; listed ones may be absent there); None for too long a list."""
     spark = listed.sparkSession
     stage = Stage(spark, "cascade")
-    inside = stage.put(listed.where("key is not null").distinct())
+    inside = stage.put(listed.select("key").where("key is not null").distinct())
     n_in = inside.count()
-    if n_in > MOST_LISTED:
-        raise ValueError(f"{n_in} listed keys; a cascade is built for at most {MOST_LISTED}")
-    if not n_in:
-        return Cascade(())
+    if not 0 < n_in <= MOST_LISTED:
+        stage.drop(inside)
+        return None if n_in else Cascade(())
     outside = stage.put(universe.where("key is not null").distinct().join(inside, "key", "left_anti"))
     n_out = outside.count()
     sides, sizes, levels = [inside, outside], [n_in, n_out], []
     # Level 0 lets about as many others through as there are listed keys; each next level errs on half of what it sees.
     bits = max(2.0, min(64.0, 1.44 * math.log2(max(2.0, n_out / n_in)) + 1))
+    made = [inside, outside]
     while sizes[0]:
         levels.append(bloom(sides[0], sizes[0], bits, len(levels)))
         wrong = stage.put(sides[1].where(levels[-1].holds(F.col("key"))))
+        made.append(wrong)
         sides, sizes = [wrong, sides[0]], [wrong.count(), sizes[0]]
         bits = 2.0
-    stage.drop(inside, outside, *sides)
+    stage.drop(*made)
     return Cascade(tuple(levels))
 
 
+def joined(hosts: DataFrame, listed: DataFrame) -> DataFrame:
+    """host, hit for each of distinct hosts: whether it or a parent is listed, by a join on the key."""
+    keys = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("key"))
+    found = keys.join(listed.select("key").distinct(), "key", "left_semi").select("host").distinct().withColumn("hit", F.lit(True))
+    return hosts.join(found, "host", "left").select("host", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """page_id, host, path, rule, listed, verdict for each row: the longest rule's verdict, else block where the host or a parent is listed."""
     pages = narrow(pages, page_id=id_col, url=url_col).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    universe = pages.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"))
-    found = cascade(listed, universe)
+    hosts = pages.select("host").distinct()
+    found = cascade(listed, hosts.select(F.explode(suffixes(F.col("host"))).alias("key")))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    hit = F.exists(suffixes(F.col("host")), found.holds) if found.levels else F.lit(False)
+    if found is None:
+        pages = pages.join(joined(hosts, listed), "host", "left")
+        hit = F.col("hit")
+    else:
+        hit = F.exists(suffixes(F.col("host")), found.holds) if found.levels else F.lit(False)
     out = pages.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), hit.alias("listed"))
     return out.select("page_id", "host", "path", "rule", "listed", F.coalesce("said", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 

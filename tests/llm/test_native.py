@@ -58,10 +58,22 @@ def test_cascade_is_exact(spark, listed, others):
         assert len(c.levels) > 1 and sum(x.bits for x in c.levels) < 300 * 16
 
 
-def test_too_many_keys(spark, monkeypatch):
-    monkeypatch.setattr(U, "MOST_LISTED", 2)
-    with pytest.raises(ValueError):
-        U.cascade(spark.range(3).select(F.col("id").cast("string").alias("key")), spark.range(1).select(F.lit("a").alias("key")))
+def test_a_list_beyond_the_cascade(spark, sf_dir, odd, monkeypatch):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    for df in (pages, odd.selectExpr("doc_id as page_id", "text as url", "*", "true as hit")):
+        with monkeypatch.context() as m:
+            rows = sorted(U.filter_urls(df, U.listed_frame(spark)).collect(), key=repr)
+            m.setattr(U, "MOST_LISTED", 2)
+            assert U.cascade(U.listed_frame(spark), spark.range(1).select(F.lit("a").alias("key"))) is None
+            assert sorted(U.filter_urls(df, U.listed_frame(spark)).collect(), key=repr) == rows
+
+
+def test_a_level_of_many_hashes(spark):
+    key = F.col("id").cast("string")
+    level = U.bloom(spark.range(2000).select(key.alias("key")), 2000, 64.0)
+    plan = spark.range(1).select(level.holds(key).alias("h"))._jdf.queryExecution().analyzed().toString()
+    assert level.hashes > 40 and plan.count("array(") == 1  # the bits are bound once, not once a hash
+    assert spark.range(2500).where(level.holds(key)).count() == 2000
 
 
 def test_url_odd_rows(spark, odd):
