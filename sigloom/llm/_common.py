@@ -44,22 +44,36 @@ class Stage:
         self.root = f"{shared_dir(spark).rstrip('/')}/sigloom/{name}-{uuid.uuid4().hex}"
         self.made = 0
 
-    def put(self, df: DataFrame, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
-        """rows: about how many there will be, where that is known; a small table then goes to few files, not to one a partition."""
+    def put(self, df: DataFrame, rows: int | None = None, per_file: int = 50_000, by: str | None = None) -> DataFrame:
+        """rows: about how many there will be, where that is known; a small table then goes to few files, not to one a partition.
+
+        by: a column whose values get folders of their own, so that reading one of them skips the others.
+        """
         path = f"{self.root}/{self.made}"
         self.made += 1
         if rows is not None:
             df = df.coalesce(max(LEAST_FILES, -(-rows // per_file)))
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._sigloom_path = path
         return out
 
+    def put_sorted(self, df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+        """Bucketed and sorted by keys, a table of the session's catalog: joins and groups on keys need no exchange of it."""
+        path, name = f"{self.root}/{self.made}", f"sigloom_{uuid.uuid4().hex}"
+        self.made += 1
+        df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+        out = self.spark.read.table(name)
+        out._sigloom_path, out._sigloom_table = path, name
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete what put wrote: the frames that it returned, not ones made from them."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
+            if name := getattr(df, "_sigloom_table", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             where = jvm.org.apache.hadoop.fs.Path(df._sigloom_path)
             where.getFileSystem(conf).delete(where, True)
 

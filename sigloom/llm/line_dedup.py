@@ -1,10 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A store holds runs: Parquet tables of (h1, h2, n_docs, last_doc), hash-partitioned and sorted by the line's
-128-bit hash. A batch of documents becomes a run: its lines are aggregated, merge-joined with the runs
-(lines that the runs lack are its anti-join and start at zero), and the run written holds running totals, so
-the newest row of a hash is also its largest. Every ``FANOUT`` runs of a level are compacted into one run of the next level.
-All of it is DataFrame operations.
+A store holds runs: tables of (h1, h2, n, last), bucketed and sorted by the line's 128-bit hash, with the line's number
+of documents and largest document. A batch of documents becomes a sorted run of its own lines, which merge-anti-joins
+the store's runs: the lines that no run holds are added to the store as a run, so a line is in one run only; those that
+some run holds are kept apart as repeats, of which there are few. Once a level has more than ``FANOUT`` runs, they are
+compacted into one run of the next level. Runs keep their buckets, so neither the anti-joins nor compaction deal them out
+anew. The lines' totals are the runs' rows with their repeats added. All of it is DataFrame operations.
 
 Cases: null or empty text is one empty line; lines under ``LEAST_CHARS`` code points (stripped) always stay; a
 null doc_id takes no part and loses nothing; rows that repeat a doc_id count as one document and each keeps
@@ -14,6 +15,8 @@ or loses lines alike; an empty table gives an empty result; extra columns are ig
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from sigloom.llm._common import Stage, narrow
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 BATCHES, FANOUT = 4, 2
+KEY = ("h1", "h2")
 _STRIP = "\x09\x0a\x0b\x0c\x0d\x20"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,87 +47,112 @@ def hashed(key: Column) -> Column:
 
 
 def long_lines(text: Column) -> Column:
-    """Hashes of the distinct keys of at least LEAST_CHARS code points."""
+    """Hashes of the distinct keys of at least LEAST_CHARS code points. Keys are made distinct as strings, which Spark does by hashing."""
     keys = F.transform(lines_of(folded(text)), line_key)
-    return F.array_distinct(F.transform(F.filter(keys, lambda k: F.char_length(k) >= LEAST_CHARS), hashed))
+    return F.transform(F.array_distinct(F.filter(keys, lambda k: F.char_length(k) >= LEAST_CHARS)), hashed)
 
 
 class LineRuns:
-    """The levelled store. ``add`` takes a batch's lines (h1, h2, doc); ``totals`` is (h1, h2, n_docs, last_doc)."""
+    """The levelled store. ``add`` takes a batch's lines (h1, h2, doc); ``totals`` is (h1, h2, n, last)."""
 
     def __init__(self, stage: Stage, fanout: int = FANOUT):
         self.stage, self.fanout = stage, fanout
-        self.levels: list[list[DataFrame]] = []
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out if len(runs) == 1 else out.groupBy("h1", "h2").agg(F.max("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        self.buckets = int(stage.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[DataFrame]] = [[]]
+        self.repeats: list[DataFrame] = []
 
     def _write(self, run: DataFrame) -> DataFrame:
-        return self.stage.put(run.select("h1", "h2", "n_docs", "last_doc").sortWithinPartitions("h1", "h2"))
+        return self.stage.put_sorted(run.select(*KEY, "n", "last"), self.buckets, *KEY)
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
-    def totals(self) -> DataFrame:
-        return self._merged(self.runs())
+    def fresh(self, own: DataFrame) -> DataFrame:
+        """The rows of a sorted run whose lines no run of the store holds."""
+        for r in self.runs():
+            own = own.join(r.select(*KEY).hint("merge"), list(KEY), "left_anti")
+        return own
+
+    def known(self, own: DataFrame) -> DataFrame | None:
+        """The other rows. A line is in one run only, so it is found once."""
+        parts = [own.join(r.select(*KEY).hint("merge"), list(KEY), "left_semi") for r in self.runs()]
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
     def add(self, lines: DataFrame) -> None:
-        own = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last"))
-        if self.runs():
-            old = self.totals().withColumnRenamed("n_docs", "n_old").withColumnRenamed("last_doc", "last_old")
-            own = own.join(old.hint("merge"), ["h1", "h2"], "left")
-            own = own.select("h1", "h2", (F.col("n") + F.coalesce("n_old", F.lit(0))).alias("n_docs"), F.greatest("last", "last_old").alias("last_doc"))
-        else:
-            own = own.select("h1", "h2", F.col("n").alias("n_docs"), F.col("last").alias("last_doc"))
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(self._write(own))
+        own = self._write(lines.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc").alias("last")))
+        known = self.known(own)
+        if known is None:
+            self.levels[0].append(own)
+            return
+        self.repeats.append(self.stage.put(known))
+        self.levels[0].append(self._write(self.fresh(own)))
+        self.stage.drop(own)
         for depth, level in enumerate(self.levels):
             if len(level) > self.fanout:
                 if depth + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[depth + 1].append(self._write(self._merged(level)))
+                self.levels[depth + 1].append(self._write(reduce(DataFrame.unionByName, level)))
                 self.stage.drop(*level)
                 level.clear()
 
+    def totals(self) -> DataFrame:
+        """One row a line: the run's row and what repeats add to it."""
+        first = reduce(DataFrame.unionByName, self.runs())
+        if not self.repeats:
+            return first
+        more = reduce(DataFrame.unionByName, self.repeats).groupBy(*KEY).agg(F.sum("n").alias("more"), F.max("last").alias("later"))
+        both = first.join(more, list(KEY), "left")
+        return both.select(*KEY, (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("last", "later").alias("last"))
+
+    def drop(self) -> None:
+        self.stage.drop(*self.runs(), *self.repeats)
+
 
 def repeated_lines(docs: DataFrame, stage: Stage, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(doc, drop): per document the hashes of lines that it loses, an array of at most its own distinct lines."""
+    """(doc, drop): per document the sorted hashes of lines that it loses, an array of at most its own distinct lines."""
     ids = docs.where("doc_id is not null")
     lines = ids.select(F.col("doc_id").alias("doc"), F.explode(long_lines(F.col("text"))).alias("h")).select("doc", "h.h1", "h.h2")
     n, distinct = ids.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if n != distinct:
+    if n != distinct:  # rows that repeat a doc_id count once
         lines = lines.distinct()
-    lines = stage.put(lines)
+    lines = stage.put(lines.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), by="batch")
     store = LineRuns(stage, fanout)
     for k in range(batches):
-        store.add(lines.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k) if batches > 1 else lines)
+        store.add(lines.where(F.col("batch") == k))
     # Written, so that the join reads it as it is: a frequent line's rows can then be split among tasks.
-    common = stage.put(store.totals().where(F.col("n_docs") >= LEAST_DOCS).select("h1", "h2", "last_doc"))
-    lost = lines.join(common, ["h1", "h2"]).where("doc != last_doc")
-    return lost.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
+    common = stage.put(store.totals().where(F.col("n") >= LEAST_DOCS).select(*KEY, F.col("last").alias("last_doc")))
+    store.drop()
+    lost = lines.join(common, list(KEY)).where("doc != last_doc")
+    out = stage.put(lost.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*KEY))).alias("drop")))
+    stage.drop(lines, common)
+    return out
+
+
+def _within(ordered: Column, x: Column) -> Column:
+    """Whether a sorted array holds x, by halving: the number of entries under x grows by the powers of two that fit."""
+    n = F.size(ordered)
+    powers = F.transform(F.sequence(F.ceil(F.log2(n)).cast("int"), F.lit(0), F.lit(-1)), lambda e: F.pow(F.lit(2.0), e).cast("int"))
+    under = F.aggregate(powers, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(ordered, at + step - 1) < x), at + step).otherwise(at))
+    return F.coalesce(F.get(ordered, under) == x, F.lit(False))
 
 
 def kept_text(text: Column, drop: Column) -> Column:
-    """The text without the lines whose hash is in drop; the text as it is where drop is null."""
+    """The lines whose hash is not in drop, a sorted array; each line costs the logarithm of the array's size."""
     lines = lines_of(text)
-    stay = F.filter(lines, lambda x: ~(F.array_contains(drop, hashed(line_key(folded(x)))) & (F.char_length(line_key(x)) >= LEAST_CHARS)))
-    return stay
+    short = lambda key: F.char_length(key) < LEAST_CHARS
+    hashes = F.transform(F.transform(lines_of(folded(text)), line_key), lambda key: F.when(~short(key), hashed(key)))
+    return F.filter(F.zip_with(lines, hashes, lambda line, h: F.when(h.isNull() | ~_within(drop, h), line)), lambda line: line.isNotNull())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_dropped, text (what stays), and the columns in ``keep``: one row for each row of docs."""
     stage = Stage(docs.sparkSession, "lines")
-    named = narrow(docs, doc_id=id_col, text=text_col)
-    drops = repeated_lines(named, stage)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c) for c in keep if c not in (id_col, text_col)])
-    out = rows.join(drops, F.col("doc_id") == F.col("doc"), "left").drop("doc")
+    own = {f"_keep{i}": c for i, c in enumerate(keep) if c not in (id_col, text_col)}
+    drops = repeated_lines(narrow(docs, doc_id=id_col, text=text_col), stage)
+    rows = narrow(docs, doc_id=id_col, text=text_col, **own)
+    out = rows.join(drops, F.col("doc_id") == F.col("doc"), "left")
     stay = F.when(F.col("drop").isNotNull(), kept_text(F.col("text"), F.col("drop")))
-    out = out.withColumn("stay", stay).withColumn("n_lines", F.size(lines_of(F.col("text"))).cast("long"))
+    out = out.select("doc_id", "text", *own, F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), stay.alias("stay"))
     dropped = F.when(F.col("stay").isNotNull(), F.col("n_lines") - F.size("stay")).otherwise(F.lit(0)).cast("long")
     text = F.when(F.col("stay").isNotNull(), F.array_join("stay", "\n")).otherwise(F.coalesce("text", F.lit("")))
-    return out.select("doc_id", *[c for c in keep if c not in (id_col, text_col)], "n_lines", dropped.alias("n_dropped"), text.alias("text"))
+    return out.select("doc_id", *[F.col(k).alias(c) for k, c in own.items()], "n_lines", dropped.alias("n_dropped"), text.alias("text"))

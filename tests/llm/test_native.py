@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from compare import assert_same
@@ -112,6 +113,9 @@ def test_lines_odd_rows(odd, empty):
     assert L.dedup_lines(empty).count() == 0
     kept = L.dedup_lines(odd, keep=("lang", "source"))
     assert kept.columns == ["doc_id", "lang", "source", "n_lines", "n_dropped", "text"] and kept.count() == odd.count()
+    clash = odd.selectExpr("doc_id", "text", "lang as `drop`", "source as doc", "n_chars as stay", "n_chars as n_lines0", "`a.b`")
+    kept = L.dedup_lines(clash, keep=("drop", "doc", "stay", "a.b"))
+    assert sorted(((r["doc_id"], r["drop"], r["doc"], r["stay"], r["a.b"]) for r in kept.collect()), key=repr) == sorted(((r["doc_id"], r["drop"], r["doc"], r["stay"], r["a.b"]) for r in clash.collect()), key=repr)
 
 
 def test_many_lines(spark):
@@ -132,11 +136,45 @@ def test_runs_are_levelled_and_compacted(spark):
     for k in range(7):
         store.add(spark.createDataFrame([(h, 0, k) for h in range(k, k + 3)], "h1 long, h2 long, doc long"))
     assert len(store.levels) > 1 and all(len(x) <= 2 for x in store.levels)
-    got = {r.h1: (r.n_docs, r.last_doc) for r in store.totals().collect()}
+    keys = [(r.h1, r.h2) for run in store.runs() for r in run.collect()]
+    assert len(keys) == len(set(keys))  # the anti-join leaves a line in one run only
+    got = {r.h1: (r.n, r.last) for r in store.totals().collect()}
     want = {h: (len([k for k in range(7) if k <= h < k + 3]), max(k for k in range(7) if k <= h < k + 3)) for h in range(9)}
     assert got == want
 
 
+def test_runs_are_merged_without_an_exchange(spark):
+    stage = Stage(spark, "t")
+    store = L.LineRuns(stage, 4)
+    lines = lambda k: spark.range(2000).select((F.col("id") * 7 + k).alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(k).cast("long").alias("doc"))
+    for k in range(3):
+        store.add(lines(k % 2))
+    own = store._write(lines(5).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")))
+    for df in (store.fresh(own), store.known(own)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert "LeftAnti" in store.fresh(own)._jdf.queryExecution().executedPlan().toString()
+    assert store.fresh(own).count() == 2000 and store.known(own).count() == 0
+
+
+@pytest.mark.parametrize("distinct", [200_000, 50])
+def test_a_document_of_many_lines(spark, distinct):
+    line = [f"this is line number {i % distinct:07d} of a long text" for i in range(200_000)]
+    rows = [(1, "\n".join(line)), (2, "\n".join(line[::2])), (3, "\n".join(line[:100_000]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    L.dedup_lines(df.limit(0)).count()
+    began = time.perf_counter()
+    got = got_lines(L.dedup_lines(df))
+    took = time.perf_counter() - began
+    assert got == brute_lines(rows) and took < 60
+
+
+def test_halving(spark):
+    rows = [([], 1), ([5], 5), ([5], 4), ([5], 6), ([1, 3, 5, 7, 9], 9), ([1, 3, 5, 7, 9], 1), ([1, 3, 5, 7, 9], 4), (list(range(0, 2000, 2)), 1998), (list(range(0, 2000, 2)), 999), (list(range(0, 2048, 2)), 2046), (list(range(0, 2048, 2)), 2047)]
+    df = spark.createDataFrame(rows, "a array<int>, x int").withColumn("hit", L._within(F.col("a"), F.col("x")))
+    assert all(r.hit == (r.x in r.a) for r in df.collect())
+
+
 # ---- shards -------------------------------------------------------------------------------------------------
 def test_table_is_even_and_moves_little():
     table = S.fill()
