@@ -1,8 +1,13 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, exact verification, union-find grouping.
 
+Before two sets are compared, a bound says whether they can be similar at all: a profile counts a set's shingles by the
+last byte of their hash, and two sets can't share more shingles than the sums of the lesser counts. The bound is never
+under the truth, so no similar pair is left out.
+
 Cases: null or empty text, or text without words, has an empty set and is linked with nothing; a null
 doc_id is linked with nothing (component_id null, kept); rows that repeat a doc_id count as one
-document and each gets a result row; an empty table gives an empty result; extra columns are ignored.
+document, linked by each of its texts, and each gets a result row; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm._common import Stage, narrow, splitmix, text_chunks
@@ -21,11 +26,14 @@ from sigloom.llm.shingles import shingle_sets
 #: A pair at similarity 0.75 shares no band with a probability of (1 - 0.75 ** 5) ** 40 = 2e-5.
 BANDS, ROWS = 40, 5
 SLOTS = BANDS * ROWS
-#: A sketch is one byte of every slot. A pair at 0.75 agrees in 150 slots on average, with a standard deviation of 6
-#: at most; pairs that agree in fewer than LEAST_AGREE aren't verified.
-LEAST_AGREE = 122
+#: A link needs 100 * intersection >= LEAST * union.
+LEAST = 75
+#: Counts of a profile; a count of 255 may stand for more.
+PROFILE = 256
 #: Members of a bucket that are compared at a time, and their shingles.
-CHUNK, CHUNK_SHINGLES = 256, 200_000
+CHUNK, CHUNK_SHINGLES = 512, 400_000
+#: Parts of a component's centre where its neighbours are joined with it.
+SALTS = 8
 _BLOCK = 1 << 15
 
 
@@ -71,45 +79,62 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def profiles(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """uint8 of shape (sets, PROFILE): how many of a set's hashes end in each byte."""
+    n = len(bounds) - 1
+    at = np.repeat(np.arange(n), np.diff(bounds)) * PROFILE + (sets % np.uint64(PROFILE)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * PROFILE), 255).astype(np.uint8).reshape(n, PROFILE)
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, x_size: np.ndarray, y_size: np.ndarray) -> np.ndarray:
+    """Whether sets with these profiles (the last axis) and sizes can have the similarity of a link; never false for one."""
+    both = np.minimum(x, y).sum(axis=-1, dtype=np.int64)
+    unknown = ((x == 255) & (y == 255)).any(axis=-1)
+    return (100 * both >= LEAST * (x_size + y_size - both)) | (unknown & (100 * np.minimum(x_size, y_size) >= LEAST * np.maximum(x_size, y_size)))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb, buf, offs in text_chunks(batches, "text", 1 << 19):
         sets, bounds = shingle_sets(buf, offs)
-        sig = super_minhash(sets, bounds)
-        keys = band_keys(sig)
-        sketch = (sig & np.uint32(0xFF)).astype(np.uint8)
+        keys = band_keys(super_minhash(sets, bounds))
         size = np.diff(bounds)
         digest = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 rb.column(0),
+                rb.column(2),
                 pa.array(size, pa.int64()),
                 pa.array(digest, pa.binary()),
                 pa.ListArray.from_arrays(np.arange(len(size) + 1, dtype=np.int32) * BANDS, keys.reshape(-1)),
-                pa.array([x.tobytes() for x in sketch], pa.binary()),
+                pa.array([x.tobytes() for x in profiles(sets, bounds)], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+            names=["doc_id", "text_hash", "n_shingles", "digest", "bands", "profile"],
         )
 
 
-_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+_SIGNED = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, profile binary"
+
+
+def _profiles_of(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, PROFILE)
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with sketches, those that may be similar enough."""
+    """Of pairs with sizes and profiles, those that may be similar."""
     for rb in batches:
         if rb.num_rows:
-            x, y = (np.frombuffer(b"".join(rb.column(i).to_pylist()), np.uint8).reshape(-1, SLOTS) for i in (2, 3))
-            yield rb.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREE))
+            x, y = (_profiles_of(rb.column(i)) for i in (4, 5))
+            yield rb.select([0, 1]).filter(pa.array(may_be_similar(x, y, rb.column(2).to_numpy(), rb.column(3).to_numpy())))
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether 100 * |x and y| >= 75 * |x or y|, for sorted sets."""
+    """Whether 100 * |x and y| >= LEAST * |x or y|, for sorted sets."""
     small, large = (x, y) if len(x) < len(y) else (y, x)
-    if not len(small) or 100 * len(small) < 75 * len(large):
+    if not len(small) or 100 * len(small) < LEAST * len(large):
         return False
     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
     both = int((large[at] == small).sum())
-    return 100 * both >= 75 * (len(small) + len(large) - both)
+    return 100 * both >= LEAST * (len(small) + len(large) - both)
 
 
 def _sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -119,30 +144,52 @@ def _sets(texts: list[str | None]) -> list[np.ndarray]:
     return [sets[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of two chunks of a bucket's members (node, comp, sketch, text, bands), the similar pairs of different components.
+#: What is compared of a bucket's member; the text only where it comes to that.
+_MEMBER = ("node", "comp", "size", "profile", "bands")
 
-    A pair is looked at in the first band whose keys agree only, as sketches may agree by chance in a band of which
-    it shares no bucket; its sketches decide whether its sets are compared.
+
+def _to_compare(left: pa.StructArray, right: pa.StructArray, band: int) -> dict[int, np.ndarray]:
+    """Of two chunks of a bucket's members, the right ones that each left one is to be compared with.
+
+    They lie in other components and may be similar. A pair is looked at only in the first band whose keys agree.
     """
+    (lc, lz, lp, lk), (rc, rz, rp, rk) = ((x.field(1).to_numpy(), x.field(2).to_numpy(), _profiles_of(x.field(3)), x.field(4).flatten().to_numpy().reshape(-1, BANDS)) for x in (left, right))
+    todo: dict[int, np.ndarray] = {}
+    for k in range(len(lc)):
+        at = np.flatnonzero(rc != lc[k])
+        at = at[(rk[at] == lk[k]).argmax(axis=1) == band] if len(at) else at
+        at = at[may_be_similar(rp[at], lp[k], rz[at], lz[k])] if len(at) else at
+        if len(at):
+            todo[k] = at
+    return todo
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two chunks of a bucket (b, band, l, r, left, right), the members whose texts are needed, as (node, comp); none, no row."""
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("comp", pa.int64())]))
+    for rb in batches:
+        kept, found = [], ([], [])
+        for i in range(rb.num_rows):
+            sides = [rb.column(c)[i].values for c in (4, 5)]
+            if todo := _to_compare(*sides, rb.column(1)[i].as_py()):
+                kept.append(i)
+                for x, at, out in zip(sides, (np.array(list(todo)), np.unique(np.concatenate(list(todo.values())))), found, strict=True):
+                    some = x.take(pa.array(at))
+                    out.append([{"node": n, "comp": c} for n, c in zip(some.field(0).to_pylist(), some.field(1).to_pylist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([*[rb.column(c).take(pa.array(kept, pa.int64())) for c in range(4)], *[pa.array(x, kind) for x in found]], names=["b", "band", "l", "r", "left", "right"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two chunks of a bucket's members (band, left, right; members with text), the similar pairs of different components."""
     for rb in batches:
         out_a, out_b = [], []
         for i in range(rb.num_rows):
-            band = rb.column(0)[i].as_py()
-            left, right = rb.column(1)[i].values, rb.column(2)[i].values
-            (ln, lc, ls), (rn, rc, rs) = ((x.field(0).to_numpy(), x.field(1).to_numpy(), np.frombuffer(b"".join(x.field(2).to_pylist()), np.uint8).reshape(-1, SLOTS)) for x in (left, right))
-            lk, rk = (x.field(4).flatten().to_numpy().reshape(-1, BANDS) for x in (left, right))
-            todo: dict[int, np.ndarray] = {}
-            for k, (comp, sketch) in enumerate(zip(lc.tolist(), ls, strict=True)):
-                at = np.flatnonzero(((rs == sketch).sum(axis=1) >= LEAST_AGREE) & (rc != comp))
-                if len(at):
-                    at = at[(rk[at] == lk[k]).argmax(axis=1) == band]
-                if len(at):
-                    todo[k] = at
-            if todo:
+            left, right = (rb.column(c)[i].values for c in (1, 2))
+            if todo := _to_compare(left, right, rb.column(0)[i].as_py()):
+                ln, rn = left.field(0).to_numpy(), right.field(0).to_numpy()
                 used = np.unique(np.concatenate(list(todo.values())))
-                sets = dict(zip(used.tolist(), _sets(right.field(3).take(pa.array(used)).to_pylist()), strict=True))
-                own = _sets(left.field(3).take(pa.array(list(todo), pa.int64())).to_pylist())
+                sets = dict(zip(used.tolist(), _sets(right.field(5).take(pa.array(used)).to_pylist()), strict=True))
+                own = _sets(left.field(5).take(pa.array(list(todo), pa.int64())).to_pylist())
                 for (k, at), mine in zip(todo.items(), own, strict=True):
                     hits = [j for j in at.tolist() if _similar(mine, sets[j])]
                     out_a += [int(ln[k])] * len(hits)
@@ -151,7 +198,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both texts, those with 100 * |A and B| >= 75 * |A or B|."""
+    """Of pairs with both texts, the similar ones."""
     hub, known = None, None
     for rb in batches:
         for part, buf, offs in text_chunks(iter([rb]), "text_a"):
@@ -190,20 +237,24 @@ def components(links: DataFrame, stage: Stage) -> DataFrame:
     """(node, root) for every node in links (two long columns) but the roots: root is the component's smallest node.
 
     Union-find within partitions first; then rounds that hang every node's larger neighbours on its smallest
-    and every node with its smaller ones on the smallest, until nothing changes. Minima are pre-aggregated.
+    and every node with its smaller ones on the smallest, until nothing changes. Minima are pre-aggregated, and a node's
+    neighbours meet its minimum in SALTS tasks, as the centre of a large component may have most of all edges.
     """
     a, b = links.columns
-    n = links.count()
-    edges = stage.put(links.select(F.col(a).alias("u"), F.col(b).alias("v")).mapInArrow(_local_forest, "u long, v long").distinct(), n)
+    edges = stage.put(links.select(F.col(a).alias("u"), F.col(b).alias("v")).mapInArrow(_local_forest, "u long, v long").distinct(), links.count())
     seen = None
     while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._sigloom_path = edges._sigloom_path
+            return out
         seen = mark
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        parts = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        large = parts.join(least, (F.col("u") == F.col("w")) & (F.col("salt") == F.col("part"))).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stage.put(large, mark[0])
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
@@ -217,39 +268,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets collapse to a class first. Then every bucket compares its members with one hub, the member that
     meets most others over all its buckets. Members that this leaves in other components than their bucket's
-    largest are compared with all other members in bounded chunks, by sketch and then by their sets, and only links
-    leave a chunk. So copies of a text merge without their pairs being emitted, and no pair of different components that
-    shares a bucket is left open.
+    largest are compared with all other members in bounded chunks, first by their profiles; only members that may be similar
+    to another one are joined with their texts, and only links leave a chunk. So copies of a text merge without their
+    pairs being emitted, and no pair of different components that shares a bucket is left open.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "near")
-    docs = narrow(docs, doc_id=id_col, text=text_col)
-    signed = stage.put(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, _SIGNED))
+    docs = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    signed = stage.put(docs.mapInArrow(_sign, _SIGNED))
     linkable = signed.where("doc_id is not null and digest is not null")
-    classes = stage.put(linkable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")))
-    slots = classes.select("node", "size", F.posexplode("bands").alias("band", "b"))
+    one = linkable.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("bands").alias("bands"), F.first("profile").alias("profile"), F.first("n_shingles").alias("size"))
+    classes = stage.put(one.select("digest", F.col("one.doc_id").alias("node"), "one.text_hash", "bands", "profile", "size"))
+    slots = classes.select("node", "text_hash", "size", F.posexplode("bands").alias("band", "b"))
     shared = slots.groupBy("b").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.count("*").alias("n")).where("low < top").select("b", "n")
     members = stage.put(slots.join(shared, "b"))
     reach = members.groupBy("node").agg(F.sum("n").alias("reach"))
     hubs = members.join(reach, "node").groupBy("b").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("hub"))
     rest = stage.put(members.join(hubs, "b").where("node != hub").select("b", "band", "node", "size", "hub"))
-    sketches = classes.select("node", "sketch")
-    keyed = classes.select("node", "sketch", "bands")
-    needed = members.select("node").distinct()
-    texts = stage.put(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(needed, "node", "left_semi"))
-    stage.drop(members)
-
-    def verified(pairs: DataFrame, n: int) -> DataFrame:
-        """n pairs (a, b): those that are similar, written."""
-        left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return stage.put(both.mapInArrow(_verify, "a long, b long"), n, 2000)
-
-    pairs = rest.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    left, right = (sketches.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
-    pairs = stage.put(pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a long, b long"))
-    links = verified(pairs, pairs.count())
-    roots = components(links, stage)
+    # One text a class, also where rows repeat a doc_id or a row.
+    needed = members.select(F.col("node").alias("doc_id"), "text_hash").distinct()
+    rows = stage.put(docs.join(needed, ["doc_id", "text_hash"], "left_semi"))
+    texts = stage.put(rows.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("node"), "text_hash", "text"))
+    stage.drop(members, rows)
+
+    left, right = (classes.select(F.col("node").alias(k), F.col("profile").alias(f"profile_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
+    pairs = rest.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().join(left, "a").join(right, "b")
+    pairs = stage.put(pairs.select("a", "b", "size_a", "size_b", "profile_a", "profile_b").mapInArrow(_alike, "a long, b long").distinct())
+    left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    links = stage.put(both.mapInArrow(_verify, "a long, b long"), pairs.count(), 2000)
+    # Rows of a doc_id with different sets are one document, so their classes are linked.
+    h = F.xxhash64("digest")
+    several = linkable.groupBy("doc_id").agg(F.min(h).alias("low"), F.max(h).alias("top")).where("low < top").select("doc_id")
+    own = linkable.join(several, "doc_id", "left_semi").join(classes.select("digest", "node"), "digest").where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    roots = components(links.union(own), stage)
+    stage.drop(pairs, links)
+
     placed = rest.join(roots, "node", "left").select("b", "band", "node", "size", F.coalesce("root", "node").alias("comp"))
     sizes = placed.groupBy("b", "comp").agg(F.struct(F.count("*").alias("n"), F.sum("size").alias("size"), F.first("comp").alias("comp")).alias("one"))
     open_ = sizes.groupBy("b").agg(F.count("*").alias("k"), F.sum("one.n").alias("n"), F.sum("one.size").alias("size"), F.max("one").alias("main")).where("k > 1")
@@ -258,19 +312,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = open_.select("b", F.col("main.comp").alias("main"), n_right.alias("n_right"), n_left.alias("n_left"))
     here = stage.put(placed.drop("size").join(open_, "b"))
     if not here.isEmpty():
-        looks = keyed.join(texts.dropDuplicates(["node"]), "node")
-        packed = F.collect_list(F.struct("node", "comp", "sketch", "text", "bands"))
+        full = here.join(classes.select("node", "size", "profile", "bands"), "node")
+        packed = F.collect_list(F.struct(*_MEMBER))
         keys = [F.pmod(F.xxhash64("node"), F.col(f"n_{side}")) for side in ("left", "right")]
-        full = here.join(looks, "node")
         left = full.where("comp != main").groupBy("b", keys[0].alias("l"), "n_right").agg(packed.alias("left"))
         right = full.groupBy("b", "band", keys[1].alias("r"), "n_left").agg(packed.alias("right"))
         left = left.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_right") - 1)))
         right = right.withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1)))
-        more = stage.put(left.join(right, ["b", "l", "r"]).select("band", "left", "right").mapInArrow(_compare, "a long, b long"))
+        node = "array<struct<node: long, comp: long>>"
+        chunks = left.join(right, ["b", "l", "r"]).select("b", "band", "l", "r", "left", "right")
+        chunks = stage.put(chunks.mapInArrow(_screen, f"b long, band int, l long, r long, left {node}, right {node}"))
+        looks = classes.select("node", "text_hash", "size", "profile", "bands").join(texts, ["node", "text_hash"]).drop("text_hash")
+        packed = F.collect_list(F.struct(*_MEMBER, "text"))
+        left, right = (
+            chunks.select("b", "band", "l", "r", F.explode(side).alias("m")).select("b", "band", "l", "r", "m.*").join(looks, "node").groupBy("b", "band", "l", "r").agg(packed.alias(side))
+            for side in ("left", "right")
+        )
+        more = stage.put(left.join(right, ["b", "band", "l", "r"]).select("band", "left", "right").mapInArrow(_compare, "a long, b long"))
         # The components so far are a forest of their own, so only new links are added to it.
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), stage)
+        after = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), stage)
+        stage.drop(chunks, more, roots)
+        roots = after
     group = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    stage.drop(rest, texts)
     out = signed.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = stage.put(out.select("doc_id", "n_shingles", component.alias("component_id")))
+    stage.drop(signed, classes, rest, texts, here, roots)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -88,17 +88,21 @@ def test_against_brute_force(docs, texts):
 
 @pytest.mark.parametrize("band", [0, 7, 9])
 def test_chance_bytes_in_an_earlier_band(band):
-    """Sketches agree in every band, keys in bands 7 and 9 only: the pair is found in band 7."""
+    """Keys agree in bands 7 and 9 only: the pair is found in band 7."""
     keys = np.arange(2 * N.BANDS, dtype=np.int64).reshape(2, -1)
     keys[1, [7, 9]] = keys[0, [7, 9]]
     text = " ".join(f"w{i}" for i in range(40))
-    member = pa.struct({"node": pa.int64(), "comp": pa.int64(), "sketch": pa.binary(), "text": pa.string(), "bands": pa.list_(pa.int64())})
-    a, b = ([{"node": i, "comp": i, "sketch": bytes(N.SLOTS), "text": text, "bands": keys[i].tolist()}] for i in (0, 1))
+    member = pa.struct({"node": pa.int64(), "comp": pa.int64(), "size": pa.int64(), "profile": pa.binary(), "bands": pa.list_(pa.int64()), "text": pa.string()})
+    look = {"size": 36, "profile": N.profiles(*H.shingle_sets(*chunk([text])))[0].tobytes(), "text": text}
+    a, b = ([{"node": i, "comp": i, "bands": keys[i].tolist(), **look}] for i in (0, 1))
     # A row before it, of other buckets, shifts the values.
-    far = [{"node": i, "comp": i, "sketch": bytes([i]) * N.SLOTS, "text": text, "bands": [i] * N.BANDS} for i in (5, 6)]
+    far = [{"node": i, "comp": i, "bands": [i] * N.BANDS, **look} for i in (5, 6)]
     rb = pa.RecordBatch.from_arrays([pa.array([3, band], pa.int32()), pa.array([far[:1], a], pa.list_(member)), pa.array([far, b], pa.list_(member))], names=["band", "left", "right"])
     got = [(x["a"], x["b"]) for out in N._compare(iter([rb])) for x in out.to_pylist()]
     assert got == ([(0, 1)] if band == 7 else [])
+    rb = pa.RecordBatch.from_arrays([pa.array([1, 2]), rb.column(0), pa.array([0, 0]), pa.array([0, 0]), rb.column(1), rb.column(2)], names=["b", "band", "l", "r", "left", "right"])
+    screened = [(x["b"], [m["node"] for m in x["left"]], [m["node"] for m in x["right"]]) for out in N._screen(iter([rb])) for x in out.to_pylist()]
+    assert screened == ([(2, [0], [1])] if band == 7 else [])
 
 
 def copies(rng, base, n, edits):
@@ -126,6 +130,46 @@ def test_large_groups_of_copies_and_chains(spark):
     check(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), rows)
 
 
+@pytest.mark.parametrize("shared,own", [(60, 20), (300, 50), (3, 1), (30_000, 5_000), (200_000, 33_333)])
+def test_the_bound_is_never_under_the_truth(shared, own):
+    rng = np.random.default_rng(shared)
+    for _ in range(20):
+        x = rng.integers(1, 2**63, shared + 2 * own, dtype=np.uint64)
+        sets = [np.sort(x[: shared + own]), np.sort(np.concatenate((x[:shared], x[shared + own + rng.integers(0, own + 1) :])))]
+        sizes = np.array([len(v) for v in sets])
+        p = N.profiles(np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes))))
+        assert N.may_be_similar(p[0], p[1], sizes[0], sizes[1]) or not N._similar(*sets)
+    far = np.sort(rng.integers(1, 2**63, 100, dtype=np.uint64))
+    p = N.profiles(np.concatenate((far, far + np.uint64(1 << 20))), np.array([0, 100, 200]))
+    assert N.may_be_similar(p[0], p[1], 100, 100) and not N.may_be_similar(p[0], p[0] * 0, 100, 100)
+
+
+def test_thousands_of_planted_pairs(spark):
+    """Pairs at a similarity of 0.75 to 0.85 that share a passage with hundreds of others: each is found."""
+    rng = random.Random(11)
+    passage, rows, pairs = [f"p{i}" for i in range(30)], [], []
+    for k in range(1500):
+        n = rng.randint(60, 90)
+        base = (passage if k % 2 else []) + [f"b{k}w{i}" for i in range(n)]
+        edit = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            edit[rng.randrange(len(edit) - n, len(edit))] = f"x{rng.randrange(10**9)}"
+        a, b = brute_set(" ".join(base)), brute_set(" ".join(edit))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edit))]
+        if 100 * len(a & b) >= 75 * len(a | b):
+            pairs.append(2 * k)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert len(pairs) > 1000
+    # A pair at 0.75 shares no band with a probability of 2e-5, so none is expected among these.
+    assert {d for d, _ in rows if got[d] != d} == {k + 1 for k in pairs} and all(got[k + 1] == k for k in pairs)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(5, text("a")), (5, text("b")), (3, text("b")), (9, text("a") + " more"), (7, text("c")), (7, text("c")), (8, text("d")), (8, text("c") + " x"), (2, None), (2, text("d"))]
+    check(N.near_duplicates(spark.createDataFrame(rows * 2, "doc_id long, text string")), rows * 2)
+
+
 def test_odd_rows(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     out = N.near_duplicates(odd)
