@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,16 +37,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_ROOTS: list[str] = []
+
+
+def _delete(jvm, path: str) -> None:
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """The driver's end is the end of what it staged."""
+    if gateway := SparkContext._gateway:
+        for root in _ROOTS:
+            with contextlib.suppress(Py4JError, OSError):
+                _delete(gateway.jvm, root)
+
+
 class Stage:
     """Tables written to the shared folder, so that lost executors cost no recomputation.
 
-    ``put`` writes a DataFrame and returns it as read again; ``drop`` deletes what is no longer read.
+    ``put`` writes a DataFrame and returns it as read again; ``drop`` deletes what is no longer read. What an operator's
+    result reads stays until the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/sigloom/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        _ROOTS.append(self.root)
 
     def put(self, df: DataFrame, rows: int | None = None, per_file: int = 50_000, by: str | None = None) -> DataFrame:
         """rows: about how many there will be, where that is known; a small table then goes to few files, not to one a partition.
@@ -69,13 +92,11 @@ class Stage:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete what put wrote: the frames that it returned, not ones made from them."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
             if name := getattr(df, "_sigloom_table", None):
                 self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            where = jvm.org.apache.hadoop.fs.Path(df._sigloom_path)
-            where.getFileSystem(conf).delete(where, True)
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(df._sigloom_path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def narrow(df: DataFrame, **cols: str) -> DataFrame:

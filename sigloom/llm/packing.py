@@ -121,4 +121,6 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     groups = max(1, math.ceil(pieces.count() / group))
     # The row hash spreads repeated rows' ids too, as the pieces' own place in the staged file is part of it.
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
-    return dealt.groupBy("group").applyInArrow(_packer(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = stage.put(dealt.groupBy("group").applyInArrow(_packer(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
+    stage.drop(pieces)
+    return out
