@@ -65,7 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, stage = spark.read.parquet(f"{sf_dir}/documents.parquet"), Stage(spark, "pipeline")
-    for _, step in STAGES[:-1]:
+    docs, stage, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Stage(spark, "pipeline"), []
+    for _, step in STAGES:
         docs = stage.put(step(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        stage.drop(*before)  # the stage after it has been written
+        before = [docs]
+    return docs
