@@ -74,23 +74,32 @@ def first_nonnegative(path: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.size(path)).cast("int")
 
 
+def running(a: Column) -> Column:
+    """Running sums of an array of integers, by doubling: each round adds the sums so far of as many entries before."""
+
+    def summed(a: Column) -> Column:
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(a) + 1)).cast("int"))
+        add = lambda acc, d: F.zip_with(acc, F.concat(F.array_repeat(F.lit(0), d), F.slice(acc, 1, F.greatest(F.size(acc) - d, F.lit(0)))), lambda x, y: x + F.coalesce(y, F.lit(0)))
+        trimmed = lambda acc, e: N.let(F.least(F.pow(F.lit(2.0), e).cast("int"), F.size(acc)), lambda d: add(acc, d))
+        return F.aggregate(rounds, a, trimmed)
+
+    return N.let(a, summed)
+
+
 def stitch(path: Column, k: int) -> tuple[Column, Column]:
     """(bases, positions): the first k-mer, then the new bases of each next one; positions are -1 before it, else the running shift.
 
     Null without any k-mer.
     """
-    start = F.struct(F.lit(-1).alias("last"), F.lit("").alias("bases"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("pos"))
-
-    def step(acc: Column, s: Column) -> Column:
-        s = s.cast("int")
-        shift = F.when(acc["last"] < 0, F.lit(0)).otherwise(overlap(acc["last"], s, k))
-        fresh = F.when(acc["last"] < 0, decode_kmer(s, k)).otherwise(F.right(decode_kmer(s, k), shift))
-        moved = F.struct(s.alias("last"), F.concat(acc["bases"], fresh).alias("bases"), (acc["at"] + shift).alias("at"), F.concat(acc["pos"], F.array(acc["at"] + shift)).alias("pos"))
-        stay = F.struct(acc["last"].alias("last"), acc["bases"].alias("bases"), acc["at"].alias("at"), F.concat(acc["pos"], F.array(F.when(acc["last"] < 0, F.lit(-1)).otherwise(acc["at"]))).alias("pos"))
-        return F.when(s < 0, stay).otherwise(moved)
-
-    out = F.aggregate(path, start, step)
-    return F.when(out["last"] >= 0, out["bases"]), F.when(out["last"] >= 0, out["pos"])
+    states = F.filter(F.transform(path, lambda s: s.cast("int")), lambda s: s >= 0)
+    # Of neighbours that aren't stays, how far the later one is ahead; the first is at 0.
+    ahead = lambda m: F.concat(F.array(F.lit(0)), F.zip_with(F.slice(m, 1, F.size(m) - 1), F.slice(m, 2, F.size(m) - 1), lambda x, y: overlap(x, y, k)))
+    new = lambda s, o, i: F.when(i == 0, decode_kmer(s, k)).otherwise(F.right(decode_kmer(s, k), o))
+    text = lambda m: F.array_join(F.transform(F.arrays_zip(m.alias("s"), ahead(m).alias("o")), lambda z, i: new(z["s"], z["o"], i)), "")
+    seen = running(F.transform(path, lambda s: (s >= 0).cast("int")))
+    place = N.let(running(N.let(states, ahead)), lambda at: F.transform(seen, lambda n: F.when(n > 0, F.get(at, n - 1)).otherwise(F.lit(-1))))
+    some = F.exists(path, lambda s: s >= 0)
+    return F.when(some, N.let(states, text)), F.when(some, place)
 
 
 def ctc_collapse(path: Column) -> Column:

@@ -44,31 +44,59 @@ def _value(col: pa.Array, i: int):
     return x.as_py()
 
 
-def _plain(x):
+#: Bytes of kernel output that are held before a batch is handed on.
+OUT_BYTES = 16 << 20
+
+
+def _bytes(x) -> int:
     if isinstance(x, np.ndarray):
-        return x.tolist()
-    if isinstance(x, Mapping):
-        cols = {k: _plain(v) for k, v in x.items()}
-        n = len(next(iter(cols.values()))) if cols else 0
-        return [{k: v[i] for k, v in cols.items()} for i in range(n)]
-    return x.item() if isinstance(x, np.generic) else x
+        return x.nbytes
+    return sum(map(_bytes, x.values())) if isinstance(x, Mapping) else 8 if x is None or np.isscalar(x) and not isinstance(x, str) else len(x)
+
+
+def _lists(sizes: list[int], inner: pa.Array, missing: list[bool]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), inner, mask=pa.array(missing))
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow array of kernel results: numbers and texts, 1-d and 2-d arrays, or dicts of arrays as lists of structs. Buffers are copied, not boxed."""
+    if not pa.types.is_list(kind):
+        return pa.array([x.item() if isinstance(x, np.generic) else x for x in values], kind)
+    missing, there = [x is None for x in values], [x for x in values if x is not None]
+    flat = lambda parts, t: pa.array(np.concatenate([np.asarray(p).reshape(-1) for p in parts]) if parts else [], t)
+    inner = kind.value_type
+    if pa.types.is_struct(inner):
+        cols = [flat([x[f.name] for x in there], f.type) if f.type != pa.float32() else flat([np.asarray(x[f.name], np.float32) for x in there], f.type) for f in inner]
+        count = [0 if x is None else len(x[inner[0].name]) for x in values]
+        return _lists(count, pa.StructArray.from_arrays(cols, fields=list(inner)), missing)
+    count = [0 if x is None else len(x) for x in values]
+    if pa.types.is_list(inner):
+        rows = _lists([x.shape[1] for x in there for _ in range(len(x))], flat(there, inner.value_type), [False] * sum(count))
+        return _lists(count, rows.cast(inner), missing)
+    return _lists(count, flat(there, inner), missing)
 
 
 def per_read(df: DataFrame, kernel: Callable[..., tuple | None], inputs: list[str], outputs: str) -> DataFrame:
-    """df with further columns (a DDL string) that kernel(*inputs) returns as a tuple for each row."""
+    """df with further columns (a DDL string) that kernel(*inputs) returns as a tuple for each row. Rows go on once their output has OUT_BYTES."""
     added = T._parse_datatype_string(outputs)
     schema = T.StructType([*df.schema.fields, *added.fields])
     arrow = to_arrow_schema(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            rows = []
+            at = [rb.schema.get_field_index(c) for c in inputs]
+            rows, first, held = [], 0, 0
             for i in range(rb.num_rows):
-                args = [_value(rb.column(rb.schema.get_field_index(c)), i) for c in inputs]
+                args = [_value(rb.column(c), i) for c in at]
                 out = None if any(a is None for a in args) else kernel(*args)
-                rows.append([None] * len(arrow) if out is None else [_plain(x) for x in out])
-            cols = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([rb.column(i) for i in range(rb.num_columns)] + cols, names=[*rb.schema.names, *arrow.names])
+                rows.append([None] * len(arrow) if out is None else out)
+                held += sum(map(_bytes, rows[-1]))
+                if held >= OUT_BYTES or i + 1 == rb.num_rows:
+                    part = rb.slice(first, len(rows))
+                    cols = [_column([r[k] for r in rows], f.type).cast(f.type) for k, f in enumerate(arrow)]
+                    yield pa.RecordBatch.from_arrays([part.column(c) for c in range(rb.num_columns)] + cols, names=[*rb.schema.names, *arrow.names])
+                    rows, first, held = [], i + 1, 0
 
     return df.mapInArrow(run, schema)
 
@@ -127,6 +155,63 @@ def squiggle(df: DataFrame, model: str, params: dict, rescale: bool = False, sta
     return per_read(df, lambda s: (run(s, shared.value, rescale),) if len(s) else None, [states], "squiggle array<array<double>>")
 
 
+# ---- from signal to bases in one kernel: posteriors, some thousand times a read's size, never leave it -------------
+def _decoded(post, crf: bool, homopolymer: str, **penalties) -> tuple | None:
+    if crf:
+        score, path = decode.crf_viterbi(post)
+        bases, pos = decode.crf_bases(path[:-1])
+    else:
+        score, path = decode.viterbi(post, **penalties)
+        path = decode.homopolymer_correct(post, path, homopolymer)
+        bases, pos = decode.stitch(path, ((post.shape[1] - 1).bit_length() - 1) // 2)
+    return None if bases is None else (score, path, bases, pos, len(post))
+
+
+_CALL = "score double, path array<int>, bases string, pos array<int>, nblock int"
+
+
+def call_signal(df: DataFrame, model: str, params: dict, network: dict, homopolymer: str = "nochange", signal: str = "signal", **penalties) -> DataFrame:
+    """df with score, path, bases, pos, nblock of the view [start, end): normalise, posterior and the model's decoder. network: options of posterior."""
+    crf, shared = networks.model(model).crf, df.sparkSession.sparkContext.broadcast(params)
+
+    def kernel(x, start, end):
+        y = detect.medmad(x[start:end]) if end > start else None
+        return None if y is None else _decoded(networks.posterior(model, y, shared.value, **network), crf, homopolymer, **penalties)
+
+    return per_read(df, kernel, [signal, "start", "end"], _CALL)
+
+
+def call_events(df: DataFrame, params: dict, network: dict, zero_head: bool = False, dwell_correction: bool = False, **penalties) -> DataFrame:
+    """df (with events) with score, path, bases, pos, nblock, corrected: posterior, decoder and, if asked for, bases with homopolymers by dwell."""
+    shared = df.sparkSession.sparkContext.broadcast(params)
+
+    def kernel(ev):
+        x = networks.normalised_event_features(ev["mean"], ev["stdv"], ev["length"])
+        post = networks.events_posterior(x, shared.value, zero_head=zero_head, **network)
+        out = _decoded(post, False, "nochange", **penalties)
+        if out is None or not dwell_correction:
+            return out and (*out, None)
+        called = ev | {"pos": out[3][: len(ev["pos"])], "state": out[1][: len(ev["pos"])] + 1}
+        return *out, decode.dwell_corrected(out[1][: len(ev["pos"])], called, post.shape[1], len(out[2]))
+
+    return per_read(df, kernel, ["events"], _CALL + ", corrected string")
+
+
+def map_signal_to_sequence(df: DataFrame, model: str, params: dict, network: dict, band: int | None = None, signal: str = "signal", **mapping_options) -> DataFrame:
+    """df (with states) with map_score, map_path of the view [start, end): normalise, posterior and mapping."""
+    shared = df.sparkSession.sparkContext.broadcast(params)
+
+    def kernel(x, start, end, states):
+        y = detect.medmad(x[start:end]) if end > start else None
+        if y is None:
+            return None
+        post = networks.posterior(model, y, shared.value, **network)
+        bands = None if band is None else mapping.diagonal_bands(len(post), len(states), band)
+        return mapping.map_to_sequence(post, states, bands=bands, **mapping_options)
+
+    return per_read(df, kernel, [signal, "start", "end", "states"], "map_score double, map_path array<int>")
+
+
 # ---- decoding -----------------------------------------------------------------------------------------------
 def decode_transducer(df: DataFrame, stay_penalty: float = 0.0, skip_penalty: float = 0.0, local_penalty: float = 2.0, slip: bool = False, homopolymer: str = "nochange") -> DataFrame:
     """df (with post) with score, path, bases, pos."""

@@ -73,32 +73,26 @@ class Options:
     def trimmed(self, df: DataFrame) -> DataFrame:
         return reads.trim(readers.limited(df, self.limit), *self.trim, *self.segmentation).where("end > start")
 
+    def network(self) -> dict:
+        return {"min_prob": self.min_prob, "t_weight": self.weight_temperature, "t_bias": self.bias_temperature}
+
     def decoder(self) -> dict:
         return {"stay_penalty": self.stay_penalty, "skip_penalty": self.skip_penalty, "local_penalty": self.local_penalty, "slip": self.slip}
 
 
 def basecall_raw(df: DataFrame, params: dict, options: Options = Options()) -> DataFrame:
     """read_id, uuid, signal -> score, path, bases, pos, nblock, n, start, end. Reads with nothing left or a constant signal are dropped."""
-    out = reads.normalise(options.trimmed(df)).where("normalised is not null")
-    out = reads.posterior(out, options.model, params, options.min_prob, options.weight_temperature, options.bias_temperature)
-    if networks.model(options.model).crf:
-        out = reads.decode_crf(out)
-    else:
-        out = reads.decode_transducer(out, **options.decoder(), homopolymer=options.homopolymer)
-    out = out.where("bases is not null").withColumns({"nblock": F.size("post"), "n": F.size("signal")})
-    return out.drop("signal", "normalised", "post")
+    out = reads.call_signal(options.trimmed(df), options.model, params, options.network(), options.homopolymer, **options.decoder())
+    return out.where("bases is not null").withColumn("n", F.size("signal")).drop("signal")
 
 
 def basecall_events(df: DataFrame, params: dict, options: Options = Options()) -> DataFrame:
     """read_id, uuid, signal -> score, bases, pos, nevent, events with pos and state."""
-    out = reads.detect_events(options.trimmed(df), options.detection)
-    out = reads.events_posterior(out, params, min_prob=options.min_prob, t_weight=options.weight_temperature, t_bias=options.bias_temperature)
-    out = reads.decode_transducer(out, **options.decoder()).where("bases is not null")
+    out = reads.detect_events(options.trimmed(df), options.detection).drop("signal")
+    out = reads.call_events(out, params, options.network(), dwell_correction=options.dwell_correction, **options.decoder()).where("bases is not null")
     call = F.transform("events", lambda e, i: e.withField("pos", F.get("pos", i)).withField("state", F.get("path", i) + 1))
     out = out.withColumn("events", call).withColumn("nevent", F.size("events"))
-    if options.dwell_correction:
-        out = reads.dwell_correct(out).withColumn("bases", F.coalesce("corrected", "bases")).drop("corrected")
-    return out.drop("signal", "post")
+    return out.withColumn("bases", F.coalesce("corrected", "bases")).drop("corrected", "nblock")
 
 
 def event_table(df: DataFrame, options: Options = Options()) -> DataFrame:
@@ -122,11 +116,11 @@ def map_signal(df: DataFrame, params: dict, model: str = "squiggle_r94", options
 
 
 def map_sequence(df: DataFrame, params: dict, k: int = 5, options: Options = Options(local_penalty=4.0), **mapping) -> DataFrame:
-    """read_id, signal, seq -> map_score, map_path of blocks to k-mers."""
-    out = reads.normalise(options.trimmed(df)).where("normalised is not null").withColumn("states", sequence.encode_kmers(F.col("seq"), k)).where("states is not null")
-    out = reads.posterior(out, options.model, params, options.min_prob, options.weight_temperature, options.bias_temperature)
-    out = reads.map_post_to_sequence(out, options.stay_penalty, options.skip_penalty, options.local_penalty, **mapping)
-    return out.drop("signal", "normalised", "states", "post")
+    """read_id, signal, seq -> map_score, map_path of blocks to k-mers. Reads with nothing left or a constant signal are dropped."""
+    out = options.trimmed(df).withColumn("states", sequence.encode_kmers(F.col("seq"), k)).where("states is not null")
+    penalties = {"stay_penalty": options.stay_penalty, "skip_penalty": options.skip_penalty, "local_penalty": options.local_penalty}
+    out = reads.map_signal_to_sequence(out, options.model, params, options.network(), **(penalties | mapping))
+    return out.where("map_score is not null").drop("signal", "states")
 
 
 #: Commands by name: what runs, and how its result is written as text.
