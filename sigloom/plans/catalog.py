@@ -59,10 +59,15 @@ def _sequences(spark, sf_dir) -> DataFrame:
     return docs.where(F.length("seq") >= 10)
 
 
-def _matrices(spark, sf_dir, width: int = 64) -> DataFrame:
-    """read_id, m: blocks of the first ``width`` features in order of vec_id."""
-    rows = F.array_sort(F.collect_list(F.struct("vec_id", F.transform(F.slice("embedding", 1, width), lambda x: x.cast("double")).alias("v"))))
-    return _table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("read_id")).agg(F.transform(rows, lambda r: r["v"]).alias("m"))
+#: Components of a vector, all of which the queries read.
+WIDTH = 64
+
+
+def _matrices(spark, sf_dir, width: int = WIDTH) -> DataFrame:
+    """read_id, m: blocks of ``width`` features, so many a vector as it takes, in order of vec_id."""
+    rows = F.array_sort(F.collect_list(F.struct("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))))
+    out = _table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("read_id")).agg(F.transform(rows, lambda r: r["v"]).alias("m"))
+    return out if width == WIDTH else out.withColumn("m", M.from_array(F.flatten("m"), width))
 
 
 _SIG = "sig AS (SELECT user_id AS read, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i, value AS x FROM events WHERE value IS NOT NULL)"
@@ -70,8 +75,10 @@ _MED = f"{_SIG}, med AS (SELECT read, median(x) AS med, count(*) AS n FROM sig G
 _SEQ = "seq AS (SELECT doc_id, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq FROM documents), s AS (SELECT * FROM seq WHERE length(seq) >= 10)"
 
 
-def _blocks_sql(width: int = 64) -> str:
-    return f"b AS (SELECT label AS read_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS block, list_transform(embedding[1:{width}], lambda x: x::DOUBLE) AS v FROM embeddings)"
+def _blocks_sql(width: int = WIDTH) -> str:
+    n = WIDTH // width
+    whole = "vectors AS (SELECT label AS read_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+    return f"{whole}, b AS (SELECT read_id, i * {n} + j AS block, v[{width} * j + 1 : {width} * j + {width}] AS v FROM vectors, range(0, {n}) r(j))"
 
 
 # ---- signals ------------------------------------------------------------------------------------------------
@@ -204,25 +211,26 @@ def kmer_encode(spark, sf_dir):
     return _kmers(spark, sf_dir).select("doc_id", F.posexplode("states").alias("i", "k")).withColumn("i", F.col("i") + 1)
 
 
-@query(f"WITH {_KMERS}, t AS (SELECT doc_id, i, k AS b, lag(k) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM k WHERE i % 3 = 1) SELECT doc_id, i::INT AS i, {_OVER} AS shift FROM t WHERE a IS NOT NULL")
+@query(f"WITH {_KMERS}, t AS (SELECT doc_id, i, k AS b, lag(k, 3) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM k) SELECT doc_id, i::INT AS i, {_OVER} AS shift FROM t WHERE a IS NOT NULL")
 def kmer_overlap(spark, sf_dir):
-    k = _kmers(spark, sf_dir).select("doc_id", F.posexplode("states").alias("i", "b")).withColumn("i", F.col("i") + 1).where("i % 3 = 1")
-    k = k.withColumn("a", F.lag("b").over(Window.partitionBy("doc_id").orderBy("i"))).where("a is not null")
+    """Every k-mer against the one three before it. Both come from one array, so nothing is shuffled."""
+    pairs = lambda m: F.zip_with(F.slice(m, 1, F.greatest(F.size(m) - 3, F.lit(0))), F.slice(m, 4, F.size(m)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    k = _kmers(spark, sf_dir).select("doc_id", F.posexplode(N.let(F.col("states"), pairs)).alias("i", "p")).select("doc_id", (F.col("i") + 4).alias("i"), "p.a", "p.b")
     return k.select("doc_id", "i", Q.overlap(F.col("a"), F.col("b"), 5).alias("shift"))
 
 
-# Every third k-mer of the first 60, stays between them.
-_PATHS = f"{_KMERS}, p AS (SELECT doc_id, i, k AS b, lag(k) OVER (PARTITION BY doc_id ORDER BY i) AS a, substr('ACGT', (k // 256) + 1, 1) || substr('ACGT', (k // 64) % 4 + 1, 1) || substr('ACGT', (k // 16) % 4 + 1, 1) || substr('ACGT', (k // 4) % 4 + 1, 1) || substr('ACGT', k % 4 + 1, 1) AS word FROM k WHERE i <= 60 AND i % 3 = 1), q AS (SELECT *, CASE WHEN a IS NULL THEN 5 ELSE {_OVER} END AS o FROM p)"
+# A path through all k-mers, with a stay in place of each whose state is a multiple of three.
+_PATHS = f"{_KMERS}, p AS (SELECT doc_id, i, k AS b, lag(k) OVER (PARTITION BY doc_id ORDER BY i) AS a, substr('ACGT', (k // 256) + 1, 1) || substr('ACGT', (k // 64) % 4 + 1, 1) || substr('ACGT', (k // 16) % 4 + 1, 1) || substr('ACGT', (k // 4) % 4 + 1, 1) || substr('ACGT', k % 4 + 1, 1) AS word FROM k WHERE k % 3 <> 0), q AS (SELECT *, CASE WHEN a IS NULL THEN 5 ELSE {_OVER} END AS o FROM p)"
 
 
 def _path(states: Column) -> Column:
-    return F.transform(F.slice(states, 1, 60), lambda s, i: F.when(i % 3 == 0, s).otherwise(F.lit(-1)))
+    return F.transform(states, lambda s: F.when(s % 3 != 0, s).otherwise(F.lit(-1)))
 
 
 @query(f"WITH {_PATHS} SELECT doc_id, string_agg(right(word, o), '' ORDER BY i) AS bases, (sum(o) - 5)::INT AS last_pos FROM q GROUP BY doc_id")
 def overlap_stitch(spark, sf_dir):
-    bases, pos = Q.stitch(_path(F.col("states")), 5)
-    return _kmers(spark, sf_dir).select("doc_id", bases.alias("bases"), F.array_max(pos).alias("last_pos"))
+    bases, pos = Q.stitch(F.col("path"), 5)
+    return _kmers(spark, sf_dir).select("doc_id", _path(F.col("states")).alias("path")).select("doc_id", bases.alias("bases"), F.array_max(pos).alias("last_pos")).where("bases is not null")
 
 
 @query(f"WITH {_KMERS}, c AS (SELECT doc_id, i, k % 4 AS s, lag(k % 4, 1, -1) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k) SELECT doc_id, list(s ORDER BY i) AS states FROM c WHERE s <> before GROUP BY doc_id")
@@ -299,48 +307,48 @@ def argmax_decode(spark, sf_dir):
     return _matrices(spark, sf_dir).withColumn("z", M.affine("m", _W, _B)).select("read_id", path.alias("path"), r6(score).alias("score"))
 
 
-@query(f"WITH {_blocks_sql(8)}, p AS (SELECT read_id, block, list_transform(v, lambda x: abs(x) / list_sum(list_transform(v, lambda y: abs(y)))) AS p FROM b) {_cells_sql('p', 'p')}")
+@query(f"WITH {_blocks_sql()}, p AS (SELECT read_id, block, list_transform(v, lambda x: abs(x) / list_sum(list_transform(v, lambda y: abs(y)))) AS p FROM b) {_cells_sql('p', 'p')}")
 def column_normalise(spark, sf_dir):
-    return _cells(_matrices(spark, sf_dir, 8).withColumn("p", M.normalise(M.each("m", F.abs))), "p")
+    return _cells(_matrices(spark, sf_dir).withColumn("p", M.normalise(M.each("m", F.abs))), "p")
 
 
 _ACT = {"tanh": ("tanh(y)", F.tanh), "exp": ("exp(y)", F.exp), "elu": ("CASE WHEN y >= 0 THEN y ELSE exp(y) - 1 END", N.elu), "logistic": ("1 / (1 + exp(-y))", N.logistic)}
 
 
-@query(f"WITH {_blocks_sql(8)}, c AS (SELECT read_id, block, unnest(range(0, 8)) AS row, unnest(v) AS y FROM b) SELECT read_id, block, row, " + ", ".join(f"round({s}, 6) + 0.0 AS {k}" for k, (s, _) in _ACT.items()) + " FROM c")
+@query(f"WITH {_blocks_sql()}, c AS (SELECT read_id, block, unnest(range(0, {WIDTH})) AS row, unnest(v) AS y FROM b) SELECT read_id, block, row, " + ", ".join(f"round({s}, 6) + 0.0 AS {k}" for k, (s, _) in _ACT.items()) + " FROM c")
 def activations(spark, sf_dir):
-    out = _matrices(spark, sf_dir, 8).select("read_id", F.posexplode("m").alias("block", "v")).select("read_id", F.col("block").cast("long").alias("block"), F.posexplode("v").alias("row", "y"))
+    out = _matrices(spark, sf_dir).select("read_id", F.posexplode("m").alias("block", "v")).select("read_id", F.col("block").cast("long").alias("block"), F.posexplode("v").alias("row", "y"))
     return out.select("read_id", "block", F.col("row").cast("long").alias("row"), *[r6(f(F.col("y"))).alias(k) for k, (_, f) in _ACT.items()])
 
 
-@query(f"WITH {_blocks_sql(8)}, f AS (SELECT read_id, flatten(list(v ORDER BY block)) AS f FROM b GROUP BY read_id) SELECT read_id, round(list_max(f), 6) AS hi, round(list_min(f), 6) AS lo, (list_position(f, list_max(f)) - 1)::INT AS at_hi, (list_position(f, list_min(f)) - 1)::INT AS at_lo, len(f)::INT AS n FROM f")
+@query(f"WITH {_blocks_sql()}, f AS (SELECT read_id, flatten(list(v ORDER BY block)) AS f FROM b GROUP BY read_id) SELECT read_id, round(list_max(f), 6) AS hi, round(list_min(f), 6) AS lo, (list_position(f, list_max(f)) - 1)::INT AS at_hi, (list_position(f, list_min(f)) - 1)::INT AS at_lo, len(f)::INT AS n FROM f")
 def matrix_extremes(spark, sf_dir):
     m = F.col("m")
-    return _matrices(spark, sf_dir, 8).select("read_id", F.round(M.maximum(m), 6).alias("hi"), F.round(M.minimum(m), 6).alias("lo"), M.argmax(m).alias("at_hi"), M.argmin(m).alias("at_lo"), F.size(M.to_array(m)).alias("n"))
+    return _matrices(spark, sf_dir).select("read_id", F.round(M.maximum(m), 6).alias("hi"), F.round(M.minimum(m), 6).alias("lo"), M.argmax(m).alias("at_hi"), M.argmin(m).alias("at_lo"), F.size(M.to_array(m)).alias("n"))
 
 
-@query(f"WITH {_blocks_sql(8)}, c AS (SELECT read_id, block, unnest(range(0, 8)) AS row, unnest(v) AS y FROM b), d AS (SELECT read_id, block, row, (coalesce(lead(y) OVER (PARTITION BY read_id, row ORDER BY block) - y, 0.5) - 0.25) / 2 AS y FROM c) SELECT read_id, block, row, round(CASE WHEN abs(greatest(-0.4, least(0.4, y))) > 0.3 THEN 0 ELSE greatest(-0.4, least(0.4, y)) END, 6) + 0.0 AS y FROM d")
+@query(f"WITH {_blocks_sql()}, c AS (SELECT read_id, block, unnest(range(0, {WIDTH})) AS row, unnest(v) AS y FROM b), d AS (SELECT read_id, block, row, (coalesce(lead(y) OVER (PARTITION BY read_id, row ORDER BY block) - y, 0.5) - 0.25) / 2 AS y FROM c) SELECT read_id, block, row, round(CASE WHEN abs(greatest(-0.4, least(0.4, y))) > 0.3 THEN 0 ELSE greatest(-0.4, least(0.4, y)) END, 6) + 0.0 AS y FROM d")
 def matrix_transforms(spark, sf_dir):
     """Difference across blocks, shift and scale, clip, filter."""
     m = M.filter_large(M.clip(M.shift_scale(M.difference(F.col("m"), 0.5), 0.25, 2.0), 0.4), 0.3)
-    return _cells(_matrices(spark, sf_dir, 8).select("read_id", m.alias("y")), "y")
+    return _cells(_matrices(spark, sf_dir).select("read_id", m.alias("y")), "y")
 
 
 def _stacked_sql() -> str:
-    zero = "[0.0::DOUBLE, 0, 0, 0]"
-    return f"{_blocks_sql(4)}, w AS (SELECT read_id, block, coalesce(lag(v) OVER o, {zero}) || v || coalesce(lead(v) OVER o, {zero}) AS y FROM b WINDOW o AS (PARTITION BY read_id ORDER BY block))"
+    zero = f"list_transform(range(0, {WIDTH}), lambda i: 0.0::DOUBLE)"
+    return f"{_blocks_sql()}, w AS (SELECT read_id, block, coalesce(lag(v) OVER o, {zero}) || v || coalesce(lead(v) OVER o, {zero}) AS y FROM b WINDOW o AS (PARTITION BY read_id ORDER BY block))"
 
 
 @query(f"WITH {_stacked_sql()} {_cells_sql('w', 'y')}")
 def window_stack(spark, sf_dir):
-    return _cells(_matrices(spark, sf_dir, 4).select("read_id", M.window(F.col("m"), 3).alias("y")), "y")
+    return _cells(_matrices(spark, sf_dir).select("read_id", M.window(F.col("m"), 3).alias("y")), "y")
 
 
-@query(f"WITH {_stacked_sql()}, r AS (SELECT read_id, block, list_transform(range(1, 5), lambda k: y[k + 4] + tanh(y[k] - y[k + 8])) AS y FROM w) {_cells_sql('r', 'y')}")
+@query(f"WITH {_stacked_sql()}, r AS (SELECT read_id, block, list_transform(range(1, {WIDTH} + 1), lambda k: y[k + {WIDTH}] + tanh(y[k] - y[k + 2 * {WIDTH}])) AS y FROM w) {_cells_sql('r', 'y')}")
 def residual(spark, sf_dir):
     """The input plus a tanh of the difference of its neighbours."""
-    w = F.transform(M.window(F.col("m"), 3), lambda b: F.zip_with(F.slice(b, 1, 4), F.slice(b, 9, 4), lambda p, q: F.tanh(p - q)))
-    return _cells(_matrices(spark, sf_dir, 4).select("read_id", M.residual(F.col("m"), w).alias("y")), "y")
+    w = F.transform(M.window(F.col("m"), 3), lambda b: F.zip_with(F.slice(b, 1, WIDTH), F.slice(b, 2 * WIDTH + 1, WIDTH), lambda p, q: F.tanh(p - q)))
+    return _cells(_matrices(spark, sf_dir).select("read_id", M.residual(F.col("m"), w).alias("y")), "y")
 
 
 _FILTER = (0.5, -1.0, 2.0, 0.25)
@@ -356,9 +364,9 @@ def conv1d(spark, sf_dir):
     return out.select(F.col("read_id").alias("read"), F.posexplode("y").alias("block", "y")).select("read", F.col("block").cast("long").alias("block"), r6("y").alias("y"))
 
 
-@query("SELECT doc_id, list_transform(string_split(substr(regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g'), 1, 10), ''), lambda c: round([1.0, -1.0, 0.5, -0.5][strpos('ACGT', c)], 6)) AS v FROM documents WHERE length(regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')) >= 10")
+@query("SELECT doc_id, list_transform(string_split(regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g'), ''), lambda c: round([1.0, -1.0, 0.5, -0.5][strpos('ACGT', c)], 6)) AS v FROM documents WHERE length(regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')) >= 10")
 def embedding_lookup(spark, sf_dir):
-    states = Q.encode_kmers(F.substring("seq", 1, 10), 1)
+    states = Q.encode_kmers(F.col("seq"), 1)
     return _sequences(spark, sf_dir).select("doc_id", F.transform(M.embedding(states, [[1.0], [-1.0], [0.5], [-0.5]]), lambda v: F.get(v, F.lit(0))).alias("v"))
 
 
@@ -383,22 +391,133 @@ def crf_viterbi(spark, sf_dir):
     return _matrices(spark, sf_dir, 16).select("read_id", r6(M.crf_score(F.col("m"), 4)).alias("score"))
 
 
-@query()
+_LSE = "ln(list_sum(list_transform({a}, lambda x: exp(x - list_max({a}))))) + list_max({a})"
+
+
+def _weights(outputs: int) -> tuple[list[list[float]], list[float]]:
+    """Fixed weights from a vector to so many outputs."""
+    return [[round(0.02 * ((5 * i + 3 * j + i * j) % 13 - 6), 4) for j in range(WIDTH)] for i in range(outputs)], [round(0.1 * ((7 * i) % 5 - 2), 4) for i in range(outputs)]
+
+
+def _scores(spark, sf_dir, outputs: int) -> DataFrame:
+    """read_id, post: blocks of so many scores, each from a whole vector."""
+    return _matrices(spark, sf_dir).select("read_id", M.affine(F.col("m"), *_weights(outputs)).alias("post"))
+
+
+def _scores_sql(outputs: int) -> str:
+    z = ", ".join(f"list_dot_product(v, {w}::DOUBLE[]) + {b}" for w, b in zip(*_weights(outputs), strict=True))
+    return f"{_blocks_sql()}, a AS (SELECT read_id, block, [{z}] AS z FROM b), e AS (SELECT read_id, max(block) AS last FROM b GROUP BY read_id)"
+
+
+_CRF = f"""WITH RECURSIVE {_scores_sql(25)},
+    best AS (SELECT read_id, -1::BIGINT AS block, [0.0::DOUBLE, 0, 0, 0, 0] AS s, [[0], [1], [2], [3], [4]] AS paths FROM e
+      UNION ALL SELECT read_id, block, list_transform(c, lambda x: list_max(x)), list_transform(range(1, 6), lambda t: list_append(paths[list_position(c[t], list_max(c[t]))], (t - 1)::INT)) FROM
+        (SELECT a.read_id, a.block, paths, list_transform(range(0, 5), lambda t: list_transform(range(1, 6), lambda f: z[5 * t + f] + s[f])) AS c FROM best JOIN a ON a.read_id = best.read_id AND a.block = best.block + 1)),
+    fwd AS (SELECT read_id, -1::BIGINT AS block, [0.0::DOUBLE, 0, 0, 0, 0] AS s FROM e
+      UNION ALL SELECT read_id, block, list_transform(c, lambda y: {_LSE.format(a="y")}) FROM
+        (SELECT a.read_id, a.block, list_transform(range(0, 5), lambda t: list_transform(range(1, 6), lambda f: z[5 * t + f] + s[f])) AS c FROM fwd JOIN a ON a.read_id = fwd.read_id AND a.block = fwd.block + 1)),
+    bwd AS (SELECT read_id, last AS block, [0.0::DOUBLE, 0, 0, 0, 0] AS s FROM e
+      UNION ALL SELECT read_id, block - 1, list_transform(c, lambda y: {_LSE.format(a="y")}) FROM
+        (SELECT a.read_id, a.block, list_transform(range(1, 6), lambda f: list_transform(range(0, 5), lambda t: z[5 * t + f] + s[t + 1])) AS c FROM bwd JOIN a ON a.read_id = bwd.read_id AND a.block = bwd.block)),
+    path AS (SELECT read_id, list_max(s) AS score, paths[list_position(s, list_max(s))] AS path FROM best JOIN e USING (read_id) WHERE block = last)"""
+
+
+@query(f"""{_CRF} SELECT read_id, round(score, 6) + 0.0 AS score, path, array_to_string(list_transform(list_filter(path[1:len(path) - 1], lambda p: p < 4), lambda p: substr('ACGT', p + 1, 1)), '') AS bases,
+    list_transform(list_filter(range(0, len(path) - 1), lambda i: path[i + 1] < 4), lambda i: i::INT) AS pos FROM path""")
 def crf_decode(spark, sf_dir):
-    """Best path, bases and state probabilities; a vector is eight blocks of eight features, scored as by rnnrf_r94's last layer."""
-    p = networks.random_parameters("rnnrf_r94")
-    score = lambda m: (layers.global_norm(m.reshape(-1, 8), p["globalnorm_W"], p["globalnorm_b"]),)
-    out = reads.crf_posterior(reads.decode_crf(reads.per_read(_matrices(spark, sf_dir), score, ["m"], "post array<array<double>>")))
-    return out.select("read_id", r6("score").alias("score"), "bases", F.size("path").alias("n_path"), r6(N.total(F.flatten("base_probs"))).alias("mass"))
+    """Best path through five states, its bases and their places; a block's 25 transition scores come from a whole vector."""
+    return reads.decode_crf(_scores(spark, sf_dir, 25)).select("read_id", r6("score").alias("score"), "path", "bases", "pos")
+
+
+@query(f"""{_CRF}, t AS (SELECT fwd.read_id, fwd.block + 1 AS block, list_transform(range(1, 6), lambda i: fwd.s[i] + bwd.s[i]) AS s FROM fwd JOIN bwd ON fwd.read_id = bwd.read_id AND fwd.block = bwd.block),
+    p AS (SELECT read_id, block, list_transform(s, lambda x: exp(x - ({_LSE.format(a="s")}))) AS p FROM t) {_cells_sql('p', 'p')}""")
+def crf_posterior(spark, sf_dir):
+    """Probabilities of the five states before, between and after blocks."""
+    return _cells(reads.crf_posterior(_scores(spark, sf_dir, 25)), "base_probs")
+
+
+_TARGET = [0, 1, 2, 3, 1, 0, 2]
+
+
+def _map_sql(pick: str, live: str = "TRUE") -> str:
+    n = len(_TARGET)
+    low = "-1e30::DOUBLE"
+    options = f"[s[p] + z[5] - 0.5, CASE WHEN p > 1 THEN s[p - 1] ELSE {low} END + emit[p], CASE WHEN p > 2 THEN s[p - 2] ELSE {low} END - 0.75 + emit[p], CASE WHEN p = 1 THEN start + emit[1] ELSE {low} END]"
+    return f"""WITH RECURSIVE {_scores_sql(5)}, r AS (SELECT read_id, -1::BIGINT AS block, list_transform(range(0, {n}), lambda p: {low}) AS s, 0.0::DOUBLE AS start, {low} AS "end" FROM e
+      UNION ALL SELECT read_id, block, list_transform(range(1, {n + 1}), lambda p: CASE WHEN {live} THEN {pick.format(a="c[p]")} ELSE {low} END), start + greatest(-4.0, z[5]), {pick.format(a="outs")} FROM
+        (SELECT *, list_transform(range(1, {n + 1}), lambda p: {options}) AS c, ["end" + greatest(-4.0, z[5]), s[{n}] - 4.0] AS outs FROM
+          (SELECT a.read_id, a.block, e.last + 1 AS blocks, z, s, start, "end", list_transform({_TARGET}, lambda q: z[q + 1]) AS emit FROM r JOIN a ON a.read_id = r.read_id AND a.block = r.block + 1 JOIN e ON e.read_id = r.read_id))),
+    f AS (SELECT r.read_id, [s[{n}], "end"] AS ends FROM r JOIN e ON r.read_id = e.read_id AND r.block = e.last) SELECT read_id, round({pick.format(a="ends")}, 6) + 0.0 AS score FROM f"""
+
+
+#: Positions of a band three either side of the diagonal, as in mapping.diagonal_bands.
+_BAND = f"(p - 1 >= CASE WHEN block = 0 THEN 0 ELSE greatest(0, least({len(_TARGET) - 1}, floor(block * {len(_TARGET)} / blocks - 3))) END AND p - 1 < CASE WHEN block = blocks - 1 THEN {len(_TARGET)} ELSE greatest(1, least({len(_TARGET)}, ceil(block * {len(_TARGET)} / blocks + 3) + 1)) END)"
+
+
+def _map(spark, sf_dir, **opts) -> DataFrame:
+    df = _scores(spark, sf_dir, 5).withColumn("states", F.lit(_TARGET).cast("array<int>"))
+    return reads.map_post_to_sequence(df, 0.5, 0.75, 4.0, **opts).select("read_id", r6("map_score").alias("score"))
+
 
+@query(_map_sql("list_max({a})"))
+def map_viterbi(spark, sf_dir):
+    """The best way of a read's blocks through seven states; scores of four states and the stay come from whole vectors."""
+    return _map(spark, sf_dir)
 
-@query("SELECT label AS read_id, min(vec_id) >= 0 AND count(*) > 1 AS sane FROM embeddings GROUP BY label")
+
+@query(_map_sql(_LSE))
+def map_forward(spark, sf_dir):
+    """All ways of them."""
+    return _map(spark, sf_dir, forward=True)
+
+
+@query(_map_sql("list_max({a})", _BAND))
+def map_viterbi_banded(spark, sf_dir):
+    return _map(spark, sf_dir, band=3)
+
+
+@query(_map_sql(_LSE, _BAND))
+def map_forward_banded(spark, sf_dir):
+    return _map(spark, sf_dir, forward=True, band=3)
+
+
+def _transducer_sql() -> str:
+    """States 1 to 16 are k-mers of two bases, 17 the start, 18 the end. Each carries its path; stays are -1, entries at an end too."""
+    return f"""WITH RECURSIVE {_scores_sql(17)},
+    r AS (SELECT read_id, -1::BIGINT AS block, list_transform(range(1, 19), lambda j: CASE WHEN j = 17 THEN 0.0 ELSE -1e30 END::DOUBLE) AS s, list_transform(range(1, 19), lambda j: [-1]) AS paths FROM e
+      UNION ALL SELECT read_id, block,
+        list_transform(range(1, 19), lambda j: CASE WHEN j <= 16 THEN list_max(o[j]) WHEN j = 17 THEN s[17] + wait ELSE greatest(s[18] + wait, list_max(s[1:16]) - 3.0) END),
+        list_transform(range(1, 19), lambda j: CASE WHEN j <= 16 THEN list_append(paths[w[j]], CASE WHEN list_position(o[j], list_max(o[j])) = 1 THEN -1 ELSE j - 1 END::INT)
+          WHEN j = 17 OR s[18] + wait >= list_max(s[1:16]) - 3.0 THEN list_append(paths[j], -1) ELSE list_append(paths[list_position(s, list_max(s[1:16]))], -1) END) FROM
+        (SELECT *, list_transform(range(1, 17), lambda j: [j, list_position(one[j], list_max(one[j])) * 4 - 4 + (j - 1) // 4 + 1, list_position(s, list_max(s[1:16])), 17][list_position(o[j], list_max(o[j]))]) AS w FROM
+          (SELECT *, list_transform(range(1, 17), lambda j: [s[j] + z[17] - 0.3, list_max(one[j]) + z[j], list_max(s[1:16]) - 0.4 + z[j], s[17] + z[j]]) AS o FROM
+            (SELECT a.read_id, a.block, z, s, paths, greatest(-3.0, z[17] - 0.3) AS wait, list_transform(range(1, 17), lambda j: list_transform(range(0, 4), lambda l: s[4 * l + (j - 1) // 4 + 1])) AS one
+             FROM r JOIN a ON a.read_id = r.read_id AND a.block = r.block + 1)))),
+    f AS (SELECT read_id, s, paths[list_position(s, list_max(s))] AS path FROM r JOIN e USING (read_id) WHERE block = last)
+    SELECT read_id, round(list_max(s), 6) + 0.0 AS score, list_transform(path, lambda x: x::INT) AS path FROM f"""
+
+
+@query(_transducer_sql())
+def transducer_path(spark, sf_dir):
+    """The best path through 16 k-mer states and stays, ends clipped; scores come from whole vectors."""
+    out = reads.decode_transducer(_scores(spark, sf_dir, 17), 0.3, 0.4, 3.0)
+    return out.select("read_id", r6("score").alias("score"), "path")
+
+
+@query("""WITH v AS (SELECT label AS read_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+    b AS (SELECT read_id, i, n, CASE WHEN read_id % 7 = 1 AND i = 0 THEN 1 WHEN read_id % 7 = 2 AND i = 5 THEN 2 ELSE least(i, n - 2) END AS low,
+                 CASE WHEN read_id % 7 = 3 AND i = 6 THEN 6 WHEN read_id % 7 = 4 THEN least(i + 2, n - 1) WHEN read_id % 7 = 5 AND i = 4 THEN n + 1 ELSE least(i + 2, n) END AS high FROM v),
+    w AS (SELECT read_id, low < high AND high <= n AND (i > 0 OR low = 0) AND (i < n - 1 OR high = n) AND (i = 0 OR low >= lag(low) OVER o AND high >= lag(high) OVER o AND low <= lag(high) OVER o) AS ok
+          FROM b WINDOW o AS (PARTITION BY read_id ORDER BY i))
+    SELECT read_id, bool_and(ok) AS sane FROM w GROUP BY read_id""")
 def bands_sane(spark, sf_dir):
-    """Bands of one block a vector: [0, 2), [1, 3), ... up to the number of vectors."""
+    """Bands [0, 2), [1, 3), ... up to the number of vectors, of which some labels' are spoilt in one of five ways."""
     w = Window.partitionBy("label").orderBy("vec_id")
     v = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("read_id"), (F.row_number().over(w) - 1).alias("block"), F.count("*").over(Window.partitionBy("label")).alias("n"))
-    v = v.withColumn("low", F.least("block", F.col("n") - 2)).withColumn("high", F.least(F.col("block") + 2, F.col("n")))
-    return S.bounds_sane(v, F.col("n"), "read_id").select("read_id", "sane")
+    kind, i, n = F.col("read_id") % 7, F.col("block"), F.col("n")
+    low = F.when((kind == 1) & (i == 0), 1).when((kind == 2) & (i == 5), 2).otherwise(F.least(i, n - 2))
+    high = F.when((kind == 3) & (i == 6), 6).when(kind == 4, F.least(i + 2, n - 1)).when((kind == 5) & (i == 4), n + 1).otherwise(F.least(i + 2, n))
+    return S.bounds_sane(v.withColumns({"low": low, "high": high}), n, "read_id").select("read_id", "sane")
 
 
 def _network(spark, sf_dir, model: str, states: int = 257, **opts) -> DataFrame:
@@ -521,27 +640,56 @@ def json_columns(spark, sf_dir):
     return sinks.json_tsv(readers.json_to_columns(js, '{"user_id": 0, "event_type": "", "v": ""}'))
 
 
-@query(f"WITH {_SIG}, p AS (SELECT read, i, CASE WHEN i < 2 THEN -1 ELSE i // 4 END AS pos FROM sig WHERE i < 20), q AS (SELECT unnest(range(0, 4)) AS pos, unnest([10.0, 20.0, 30.0, 40.0]) AS current) SELECT read, i, p.pos, current FROM p LEFT JOIN q USING (pos)")
+@query(f"""WITH {_SIG}, p AS (SELECT read, i, x, CASE WHEN i < 2 THEN -1 ELSE i // 4 END AS pos FROM sig)
+    SELECT read AS read_id, i::INT AS idx, round(x, 6) AS signal, pos::INT AS pos, CASE WHEN pos < 0 THEN 'N' ELSE substr('ACGTAC', (pos + 1)::BIGINT, 1) END AS base,
+    CASE WHEN pos BETWEEN 0 AND 5 THEN 10.0 * (pos + 1) END AS current, CASE WHEN pos BETWEEN 0 AND 5 THEN 1.0 + pos END AS sd, CASE WHEN pos BETWEEN 0 AND 5 THEN 4.0 END AS dwell FROM p""")
 def path_squiggle(spark, sf_dir):
-    """Each sample's squiggle row; samples outside and positions beyond have none."""
-    squiggle = spark.createDataFrame([(k, 10.0 * (k + 1)) for k in range(4)], "pos long, current double")
-    path = _signal(spark, sf_dir).where("i < 20").select("read", "i", F.expr("case when i < 2 then -1 else i div 4 end").alias("pos"))
-    return path.join(squiggle, "pos", "left").select("read", "i", "pos", "current")
+    """Each sample's squiggle row; samples outside and positions beyond the squiggle's six have none."""
+    rows = F.array(*[F.array(F.lit(10.0 * (k + 1)), F.lit(1.0 + k), F.lit(4.0)) for k in range(6)])
+    df = _reads(spark, sf_dir).withColumns({"seq": F.lit("ACGTAC"), "squiggle": rows, "map_path": F.expr("transform(signal, (x, i) -> case when i < 2 then -1 else i div 4 end)")})
+    return sinks.path_squiggle(df).select("read_id", "idx", r6("signal").alias("signal"), F.col("pos").cast("int").alias("pos"), "base", "current", "sd", "dwell")
 
 
 # ---- recurrent layers ---------------------------------------------------------------------------------------
-@query()
+def _list(a) -> str:
+    return "[" + ", ".join(_list(x) if getattr(x, "ndim", 0) else repr(float(x)) for x in a) + "]"
+
+
+def _dots(w, b, v: str) -> str:
+    return "[" + ", ".join(f"list_dot_product({v}, {_list(row)}::DOUBLE[]) + {float(x)!r}" for row, x in zip(w, b, strict=True)) + "]"
+
+
+_GRU, _LSTM = networks.random_parameters("raw_r94"), networks.random_parameters("events")
+_SIGMOID = "1 / (1 + exp(-({})))"
+
+
+@query(
+    f"""WITH RECURSIVE {_blocks_sql(8)}, x AS (SELECT read_id, block, {_dots(_GRU["gruF1_iW"], _GRU["gruF1_b"], "v")} AS x FROM b),
+    k AS (SELECT {_list(_GRU["gruF1_sW"])}::DOUBLE[][] AS sw, {_list(_GRU["gruF1_sW2"])}::DOUBLE[][] AS sw2),
+    r AS (SELECT DISTINCT read_id, -1::BIGINT AS block, list_transform(range(0, 8), lambda i: 0.0::DOUBLE) AS h FROM b
+      UNION ALL SELECT read_id, block, list_transform(range(1, 9), lambda i: g[i] * h[i] + (1 - g[i]) * tanh(x[16 + i] + list_dot_product(sw2[i], rh))) FROM
+        (SELECT *, list_transform(range(1, 9), lambda i: g[8 + i] * h[i]) AS rh FROM
+          (SELECT x.read_id, x.block, x, h, sw2, list_transform(range(1, 17), lambda i: {_SIGMOID.format("x[i] + list_dot_product(sw[i], h)")}) AS g FROM r JOIN x ON x.read_id = r.read_id AND x.block = r.block + 1, k))),
+    y AS (SELECT read_id, block, h FROM r WHERE block >= 0) {_cells_sql("y", "h")}"""
+)
 def gru(spark, sf_dir):
     """A vector is eight blocks of eight features."""
-    p = networks.random_parameters("raw_r94")
-    run = lambda m: (layers.gru(m.reshape(-1, 8), p["gruF1_iW"], p["gruF1_b"], p["gruF1_sW"], p["gruF1_sW2"]),)
-    return _cells(reads.per_read(_matrices(spark, sf_dir), run, ["m"], "h array<array<double>>"), "h")
+    p = _GRU
+    run = lambda m: (layers.gru(m, p["gruF1_iW"], p["gruF1_b"], p["gruF1_sW"], p["gruF1_sW2"]),)
+    return _cells(reads.per_read(_matrices(spark, sf_dir, 8), run, ["m"], "h array<array<double>>"), "h")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_blocks_sql(4)}, w AS (SELECT read_id, block, coalesce(lag(v) OVER o, [0.0::DOUBLE, 0, 0, 0]) || v || coalesce(lead(v) OVER o, [0.0::DOUBLE, 0, 0, 0]) AS v FROM b WINDOW o AS (PARTITION BY read_id ORDER BY block)),
+    x AS (SELECT read_id, block, {_dots(_LSTM["lstmB1_iW"], _LSTM["lstmB1_b"], "v")} AS x FROM w), k AS (SELECT {_list(_LSTM["lstmB1_sW"])}::DOUBLE[][] AS sw, {_list(_LSTM["lstmB1_p"])}::DOUBLE[][] AS p),
+    r AS (SELECT read_id, max(block) + 1 AS block, list_transform(range(0, 8), lambda i: 0.0::DOUBLE) AS h, list_transform(range(0, 8), lambda i: 0.0::DOUBLE) AS c FROM b GROUP BY read_id
+      UNION ALL SELECT read_id, block, list_transform(range(1, 9), lambda i: {_SIGMOID.format("u[24 + i] + p[3][i] * d[i]")} * tanh(d[i])), d FROM
+        (SELECT *, list_transform(range(1, 9), lambda i: {_SIGMOID.format("u[16 + i] + p[2][i] * c[i]")} * c[i] + {_SIGMOID.format("u[8 + i] + p[1][i] * c[i]")} * tanh(u[i])) AS d FROM
+          (SELECT x.read_id, x.block, c, p, list_transform(range(1, 33), lambda i: x[i] + list_dot_product(sw[i], h)) AS u FROM r JOIN x ON x.read_id = r.read_id AND x.block = r.block - 1, k))),
+    y AS (SELECT r.read_id, r.block, h FROM r JOIN b USING (read_id, block)) {_cells_sql("y", "h")}"""
+)
 def lstm(spark, sf_dir):
-    """A vector is sixteen blocks of four features; windows of three of them, as in the events network."""
-    p = networks.random_parameters("events")
-    run = lambda m: (layers.lstm(layers.window(m.reshape(-1, 4), 3), p["lstmB1_iW"], p["lstmB1_b"], p["lstmB1_sW"], p["lstmB1_p"], True),)
-    return _cells(reads.per_read(_matrices(spark, sf_dir), run, ["m"], "h array<array<double>>"), "h")
-
+    """Backward; a vector is sixteen blocks of four features, in windows of three, as in the events network."""
+    p = _LSTM
+    run = lambda m: (layers.lstm(layers.window(m, 3), p["lstmB1_iW"], p["lstmB1_b"], p["lstmB1_sW"], p["lstmB1_p"], True),)
+    return _cells(reads.per_read(_matrices(spark, sf_dir, 4), run, ["m"], "h array<array<double>>"), "h")
