@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
+import pathlib
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="sigloom", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
     sub.add_parser("version", help="print the version")
+    sub.add_parser("licence", aliases=["license"], help="print the licence")
     for name, text in ABOUT.items():
         p = sub.add_parser(name, help=text)
         p.add_argument("input", help="Parquet of reads (read_id, uuid, signal), a folder of FAST5 files, or for squiggle FASTA")
@@ -73,11 +75,21 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return lines.select("value")
 
 
+def licence() -> str:
+    """The licence file beside the package, if it comes with one."""
+    top = pathlib.Path(__file__).resolve().parent.parent
+    found = [p for name in ("LICENCE", "LICENSE", "LICENSE.md") if (p := top / name).is_file()]
+    return found[0].read_text().strip() if found else f"sigloom {__version__} comes without a licence file"
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "version":
         print(__version__)
         return 0
+    if args.command in ("licence", "license"):
+        print(licence())
+        return 0
     spark = SparkSession.builder.appName(f"sigloom-{args.command}").getOrCreate()
     sinks.write_text(run(spark, args), args.output)
     return 0

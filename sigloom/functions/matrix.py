@@ -79,6 +79,14 @@ def affine(m: Column, weights: list[list[float]], bias: list[float]) -> Column:
     return F.transform(m, lambda block: F.transform(outs, lambda w: dot(block, w)))
 
 
+def tanh_dense(m: Column, weights: list[list[float]], bias: list[float]) -> Column:
+    return tanh(affine(m, weights, bias))
+
+
+def exp_dense(m: Column, weights: list[list[float]], bias: list[float]) -> Column:
+    return exp(affine(m, weights, bias))
+
+
 def affine2(m1: Column, m2: Column, w1: list[list[float]], w2: list[list[float]], bias: list[float]) -> Column:
     """Two inputs' products added, and the bias."""
     return residual(affine(m1, w1, bias), affine(m2, w2, [0.0] * len(bias)))

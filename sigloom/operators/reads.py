@@ -77,26 +77,48 @@ def _column(values: list, kind: pa.DataType) -> pa.Array:
     return _lists(count, flat(there, inner), missing)
 
 
-def per_read(df: DataFrame, kernel: Callable[..., tuple | None], inputs: list[str], outputs: str) -> DataFrame:
-    """df with further columns (a DDL string) that kernel(*inputs) returns as a tuple for each row. Rows go on once their output has OUT_BYTES."""
+#: Entries of a first input that a kernel of several rows gets at a time.
+TOGETHER = 1 << 15
+
+
+def per_read(df: DataFrame, kernel: Callable[..., tuple | None], inputs: list[str], outputs: str, together: bool = False) -> DataFrame:
+    """df with further columns (a DDL string) that kernel(*inputs) returns as a tuple for each row. Rows go on once their output has OUT_BYTES.
+
+    together: the kernel takes a list of rows' inputs, about TOGETHER entries of the first one, and returns a tuple for each.
+    """
     added = T._parse_datatype_string(outputs)
     schema = T.StructType([*df.schema.fields, *added.fields])
     arrow = to_arrow_schema(added)
+    empty = [None] * len(arrow)
+
+    def results(rb: pa.RecordBatch) -> Iterator[list]:
+        at = [rb.schema.get_field_index(c) for c in inputs]
+        held: list[tuple | None] = []
+        entries = 0
+        for i in range(rb.num_rows):
+            args = tuple(_value(rb.column(c), i) for c in at)
+            args = None if any(a is None for a in args) else args
+            if not together:
+                yield (kernel(*args) if args else None) or empty
+                continue
+            held.append(args)
+            entries += len(args[0]) if args else 0
+            if entries >= TOGETHER or i + 1 == rb.num_rows:
+                got = iter(kernel([a for a in held if a]))
+                yield from ((next(got) if a else None) or empty for a in held)
+                held, entries = [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            at = [rb.schema.get_field_index(c) for c in inputs]
-            rows, first, held = [], 0, 0
-            for i in range(rb.num_rows):
-                args = [_value(rb.column(c), i) for c in at]
-                out = None if any(a is None for a in args) else kernel(*args)
-                rows.append([None] * len(arrow) if out is None else out)
-                held += sum(map(_bytes, rows[-1]))
-                if held >= OUT_BYTES or i + 1 == rb.num_rows:
+            rows, first, size = [], 0, 0
+            for i, out in enumerate(results(rb)):
+                rows.append(out)
+                size += sum(map(_bytes, out))
+                if size >= OUT_BYTES or i + 1 == rb.num_rows:
                     part = rb.slice(first, len(rows))
                     cols = [_column([r[k] for r in rows], f.type).cast(f.type) for k, f in enumerate(arrow)]
                     yield pa.RecordBatch.from_arrays([part.column(c) for c in range(rb.num_columns)] + cols, names=[*rb.schema.names, *arrow.names])
-                    rows, first, held = [], i + 1, 0
+                    rows, first, size = [], i + 1, 0
 
     return df.mapInArrow(run, schema)
 
@@ -150,9 +172,15 @@ def events_posterior(df: DataFrame, params: dict, zero_head: bool = False, **opt
 
 
 def squiggle(df: DataFrame, model: str, params: dict, rescale: bool = False, states: str = "states") -> DataFrame:
-    """df with squiggle: (current, deviation, dwell) of each base."""
+    """df with squiggle: (current, deviation, dwell) of each base; null without bases. Sequences go through the network many at a time."""
     run, shared = networks.squiggle_model(model), df.sparkSession.sparkContext.broadcast(params)
-    return per_read(df, lambda s: (run(s, shared.value, rescale),) if len(s) else None, [states], "squiggle array<array<double>>")
+
+    def kernel(rows: list[tuple]) -> Iterator[tuple | None]:
+        some = [s for (s,) in rows if len(s)]
+        out = iter(run(some, shared.value, rescale) if some else [])
+        return [(next(out),) if len(s) else None for (s,) in rows]
+
+    return per_read(df, kernel, [states], "squiggle array<array<double>>", together=True)
 
 
 # ---- from signal to bases in one kernel: posteriors, some thousand times a read's size, never leave it -------------

@@ -55,7 +55,7 @@ def _reads(spark, sf_dir) -> DataFrame:
 
 def _sequences(spark, sf_dir) -> DataFrame:
     """doc_id, seq: at least ten bases."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]", "").alias("seq"))
+    docs = readers.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]", "").alias("seq"))
     return docs.where(F.length("seq") >= 10)
 
 
@@ -294,6 +294,12 @@ def softmax(spark, sf_dir):
     return _cells(_matrices(spark, sf_dir).withColumn("z", M.affine("m", _W, _B)).withColumn("p", M.softmax("z")), "p")
 
 
+@query(f"WITH {_AFFINE}, d AS (SELECT read_id, block, unnest(range(0, 5)) AS row, unnest(z) AS z FROM a) SELECT read_id, block, row, round(tanh(z), 6) + 0.0 AS t, round(exp(z), 6) + 0.0 AS e FROM d")
+def dense_layers(spark, sf_dir):
+    m = _matrices(spark, sf_dir).select("read_id", M.tanh_dense(F.col("m"), _W, _B).alias("t"), M.exp_dense(F.col("m"), _W, _B).alias("e"))
+    return _cells(m, "t", "t").join(_cells(m, "e", "e"), ["read_id", "block", "row"])
+
+
 @query(f"WITH {_AFFINE}, e AS (SELECT read_id, block, list_transform(z, lambda x: exp(x / 2)) AS e FROM a), p AS (SELECT read_id, block, list_transform(e, lambda x: ln(0.001 + 0.999 * x / list_sum(e))) AS p FROM e) {_cells_sql('p', 'p')}")
 def robust_log(spark, sf_dir):
     """A softmax at temperature two, robustly logged."""

@@ -89,33 +89,51 @@ def random_matrices(spark: SparkSession, n: int, rows: int, blocks: int, lower:
     return spark.range(n).withColumn("matrix", F.transform(F.sequence(F.lit(1), F.lit(blocks)), block))
 
 
-def _decode_fast5(content: bytes) -> dict:
-    """The first read by name; scaling is NaN where its attributes are missing."""
+def _text(x) -> str | None:
+    """A string attribute, of fixed length (bytes, padded with zeros) or variable (text)."""
+    return x.decode().rstrip("\0") if isinstance(x, bytes) else None if x is None else str(x)
+
+
+def _decode_fast5(content: bytes) -> dict | None:
+    """The first read by name; its id is None and its scaling NaN where attributes are missing; None for a file without reads."""
     try:
         import h5py
     except ImportError as e:
         raise RuntimeError("reading FAST5 files needs h5py on the executors") from e
     with h5py.File(io.BytesIO(content), "r") as f:
-        reads = f["/Raw/Reads"]
-        read = reads[sorted(reads)[0]]
-        name = read.attrs["read_id"]
+        reads = f["/Raw/Reads"] if "/Raw/Reads" in f else {}
+        read = reads[min(reads)] if len(reads) else {}
+        if "Signal" not in read:
+            return None
         channel = f["/UniqueGlobalKey/channel_id"].attrs if "/UniqueGlobalKey/channel_id" in f else {}
         scaling = {k: float(channel.get(k, float("nan"))) for k in ("digitisation", "offset", "range", "sampling_rate")}
-        return {"uuid": name.decode() if isinstance(name, bytes) else str(name), "adc": read["Signal"][()].astype(float), **scaling}
+        return {"uuid": _text(read.attrs.get("read_id")), "adc": read["Signal"][()].astype(float), **scaling}
 
 
-def fast5(spark: SparkSession, path: str, scale: bool = True) -> DataFrame:
-    """read_id (file name), uuid, signal, digitisation, offset, range, sampling_rate of a directory or glob; a missing path gives no rows at read time. Needs h5py."""
+_FAST5 = "read_id string, uuid string, signal array<double>, digitisation double, offset double, range double, sampling_rate double"
+
 
+def _decode_files(scale: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = pa.float64()
+        schema = pa.schema([("read_id", pa.string()), ("uuid", pa.string()), ("signal", pa.list_(number)), *[(k, number) for k in ("digitisation", "offset", "range", "sampling_rate")]])
         for rb in batches:
             for file, content in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
-                r = _decode_fast5(content)
-                x = (r["adc"] + r["offset"]) * r["range"] / r["digitisation"] if scale else r["adc"]
-                yield pa.RecordBatch.from_pylist([{"read_id": file.rsplit("/", 1)[-1], "uuid": r["uuid"], "signal": x.tolist(), **{k: r[k] for k in ("digitisation", "offset", "range", "sampling_rate")}}])
+                if r := _decode_fast5(content):
+                    x = (r["adc"] + r["offset"]) * (r["range"] / r["digitisation"]) if scale else r["adc"]
+                    signal = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+                    yield pa.RecordBatch.from_arrays([pa.array([file.rsplit("/", 1)[-1]]), pa.array([r["uuid"]], pa.string()), signal, *[pa.array([r[f.name]], number) for f in list(schema)[3:]]], schema=schema)
 
+    return run
+
+
+def fast5(spark: SparkSession, path: str, scale: bool = True) -> DataFrame:
+    """read_id (file name), uuid, signal, digitisation, offset, range, sampling_rate of a directory or glob. Needs h5py.
+
+    A missing path gives no rows at read time, and neither does a file without reads.
+    """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.fast5").option("ignoreMissingFiles", "true").load(path)
-    return raw.select("path", "content").mapInArrow(run, "read_id string, uuid string, signal array<double>, digitisation double, offset double, range double, sampling_rate double")
+    return raw.select("path", "content").mapInArrow(_decode_files(scale), _FAST5)
 
 
 def scaled(reads: DataFrame) -> DataFrame:
@@ -123,6 +141,19 @@ def scaled(reads: DataFrame) -> DataFrame:
     return reads.withColumn("signal", F.transform("adc", lambda x: (x + F.col("offset")) * F.col("range") / F.col("digitisation")))
 
 
+#: Bytes under which Spark takes an input for one task's work, by its own default.
+ONE_TASK = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it is one task's work by size, as a small file of a single row group is read by one task whatever follows.
+
+    Larger inputs stay as they are split, so nothing of size is ever shuffled.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < ONE_TASK else df
+
+
 def limited(df: DataFrame, limit: int = 0) -> DataFrame:
     """At most so many reads; 0 for all."""
     return df.limit(limit) if limit else df

@@ -303,3 +303,12 @@ def test_squiggle_match():
         score, path = P.match_squiggle(x, q, back_probability=back)
         assert (path[4:52] == np.repeat(np.arange(8), 6)).mean() > 0.95 and path[0] == -1 and path[-1] == -1
         assert P.match_squiggle(x, q, back_probability=back, forward=True)[0] >= score
+
+
+@pytest.mark.parametrize("rescale", [False, True])
+def test_squiggles_together_are_those_alone(rescale):
+    rng = np.random.default_rng(8)
+    p = W.random_parameters("squiggle_r94")
+    some = [rng.integers(0, 4, n) for n in (1, 7, 2, 40, 3, 1)]
+    for got, s in zip(W.squiggles(some, p, rescale), some, strict=True):
+        assert np.allclose(got, W.squiggle(s, p, rescale))
