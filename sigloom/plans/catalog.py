@@ -55,7 +55,7 @@ def _reads(spark, sf_dir) -> DataFrame:
 
 def _sequences(spark, sf_dir) -> DataFrame:
     """doc_id, seq: at least ten bases."""
-    docs = readers.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]", "").alias("seq"))
+    docs = readers.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]+", "").alias("seq"))
     return docs.where(F.length("seq") >= 10)
 
 
@@ -230,7 +230,8 @@ def _path(states: Column) -> Column:
 @query(f"WITH {_PATHS} SELECT doc_id, string_agg(right(word, o), '' ORDER BY i) AS bases, (sum(o) - 5)::INT AS last_pos FROM q GROUP BY doc_id")
 def overlap_stitch(spark, sf_dir):
     bases, pos = Q.stitch(F.col("path"), 5)
-    return _kmers(spark, sf_dir).select("doc_id", _path(F.col("states")).alias("path")).select("doc_id", bases.alias("bases"), F.array_max(pos).alias("last_pos")).where("bases is not null")
+    paths = _kmers(spark, sf_dir).select("doc_id", _path(F.col("states")).alias("path")).where(F.exists("path", lambda s: s >= 0))
+    return paths.select("doc_id", bases.alias("bases"), F.array_max(pos).alias("last_pos"))
 
 
 @query(f"WITH {_KMERS}, c AS (SELECT doc_id, i, k % 4 AS s, lag(k % 4, 1, -1) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k) SELECT doc_id, list(s ORDER BY i) AS states FROM c WHERE s <> before GROUP BY doc_id")
