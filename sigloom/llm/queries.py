@@ -7,14 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm import bpe, lang_id, line_dedup, media, near_dedup, packing, secrets, sharding, topk, url_filter
+from sigloom.sources.readers import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the operators whose work on a text is many times that of reading it."""
+    return spread(_read(spark, sf_dir, "documents"))
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_documents(spark, sf_dir))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,28 +28,28 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_digest(_read(spark, sf_dir, "documents"))
+    return secrets.secret_digest(_documents(spark, sf_dir))
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.store_texts(_read(spark, sf_dir, "documents")))
+    return media.media_features(media.store_texts(_documents(spark, sf_dir)))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(_documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lang_id.detect_languages(_read(spark, sf_dir, "documents"))
+    return lang_id.detect_languages(_documents(spark, sf_dir))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.token_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.token_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
