@@ -203,19 +203,20 @@ _OVER = "CASE " + " ".join(f"WHEN a % {4 ** (5 - o)} = b // {4**o} THEN {o}" for
 
 
 def _kmers(spark, sf_dir):
+    """doc_id, states: never empty. Queries explode them by posexplode_outer, as the inner form filters by size first, for which the states are made twice."""
     return _sequences(spark, sf_dir).select("doc_id", Q.encode_kmers(F.col("seq"), 5).alias("states"))
 
 
 @query(f"WITH {_KMERS} SELECT doc_id, i::INT AS i, k FROM k")
 def kmer_encode(spark, sf_dir):
-    return _kmers(spark, sf_dir).select("doc_id", F.posexplode("states").alias("i", "k")).withColumn("i", F.col("i") + 1)
+    return _kmers(spark, sf_dir).select("doc_id", F.posexplode_outer("states").alias("i", "k")).withColumn("i", F.col("i") + 1)
 
 
 @query(f"WITH {_KMERS}, t AS (SELECT doc_id, i, k AS b, lag(k, 3) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM k) SELECT doc_id, i::INT AS i, {_OVER} AS shift FROM t WHERE a IS NOT NULL")
 def kmer_overlap(spark, sf_dir):
     """Every k-mer against the one three before it. Both come from one array, so nothing is shuffled."""
     pairs = lambda m: F.zip_with(F.slice(m, 1, F.greatest(F.size(m) - 3, F.lit(0))), F.slice(m, 4, F.size(m)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    k = _kmers(spark, sf_dir).select("doc_id", F.posexplode(N.let(F.col("states"), pairs)).alias("i", "p")).select("doc_id", (F.col("i") + 4).alias("i"), "p.a", "p.b")
+    k = _kmers(spark, sf_dir).select("doc_id", F.posexplode_outer(N.let(F.col("states"), pairs)).alias("i", "p")).select("doc_id", (F.col("i") + 4).alias("i"), "p.a", "p.b")
     return k.select("doc_id", "i", Q.overlap(F.col("a"), F.col("b"), 5).alias("shift"))
 
 
@@ -259,7 +260,7 @@ def sequence_numbers(spark, sf_dir):
 
 @query(f"WITH {_KMERS} SELECT doc_id, i::INT AS i FROM k WHERE k IN (0, 341, 682, 1023)")
 def homopolymer_kmers(spark, sf_dir):
-    k = _kmers(spark, sf_dir).select("doc_id", F.posexplode("states").alias("i", "k")).withColumn("i", F.col("i") + 1)
+    k = _kmers(spark, sf_dir).select("doc_id", F.posexplode_outer("states").alias("i", "k")).withColumn("i", F.col("i") + 1)
     return k.where(Q.is_homopolymer(F.col("k"), 5)).select("doc_id", "i")
 
 
