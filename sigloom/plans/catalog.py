@@ -189,11 +189,38 @@ def samples_in_events(spark, sf_dir):
     return S.samples_in_events(seg.drop("seg"), ev).join(ev.select("read", "seg", "mean"), ["read", "seg"]).select("read", "i", "seg", r6(F.col("x") - F.col("mean")).alias("off"))
 
 
-@query()
+def _events_sql(ctes: str, sig: str = "sig") -> str:
+    """Events of the signals in one of the CTEs: both detectors sample by sample, the long one silenced by the short one's peaks."""
+    t = lambda w, k: f"CASE WHEN count(*) OVER b{w} = {w} AND count(*) OVER a{w} = {w} THEN abs(avg(x) OVER a{w} - avg(x) OVER b{w}) / sqrt(greatest(var_pop(x) OVER a{w} + var_pop(x) OVER b{w}, 1.17549435e-38) / {w}) ELSE 0 END AS {k}"
+    windows = ", ".join(f"b{w} AS (PARTITION BY read ORDER BY i ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING), a{w} AS (PARTITION BY read ORDER BY i ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)" for w in (3, 6))
+
+    def seen(d: str, now: str, threshold: float, live: str = "TRUE") -> str:
+        """at, value and valid of a detector once it has seen a score."""
+        return f"""CASE WHEN NOT {live} THEN {d}a WHEN {d}a < 0 THEN CASE WHEN {now} >= {d}v AND {now} - {d}v > 0.2 THEN i ELSE -1 END WHEN {now} > {d}v THEN i ELSE {d}a END AS {d}a1,
+            CASE WHEN NOT {live} THEN {d}v WHEN {d}a < 0 THEN CASE WHEN {now} < {d}v OR {now} - {d}v > 0.2 THEN {now} ELSE {d}v END ELSE greatest({now}, {d}v) END AS {d}v1,
+            {d}o OR ({live} AND {d}a >= 0 AND {now} <= {d}v AND {d}v - {now} > 0.2 AND {d}v > {threshold}) AS {d}o1, {live} AND {d}a >= 0 AS {d}h"""
+
+    reset = lambda d, when, value: f"CASE WHEN {when} THEN -1 ELSE {d}a1 END AS {d}a, CASE WHEN {when} THEN {value} ELSE {d}v1 END AS {d}v, {d}o1 AND NOT ({when}) AS {d}o"
+    return f"""WITH RECURSIVE {ctes}, t AS (SELECT read, i, {t(3, "s")}, {t(6, "l")} FROM {sig} WINDOW {windows}),
+    r AS (SELECT read, i, -1::BIGINT AS sa, 'inf'::DOUBLE AS sv, FALSE AS so, -1::BIGINT AS la, 'inf'::DOUBLE AS lv, FALSE AS lo, 0::BIGINT AS lm, []::BIGINT[] AS cuts FROM t WHERE i = 0
+      UNION ALL SELECT read, i, sa, sv, so, {reset("l", "lp", "l")}, lm, CASE WHEN lp THEN list_append(cuts, la1) ELSE cuts END FROM
+        (SELECT *, lh AND lo1 AND i - la1 > 3 AS lp FROM
+          (SELECT *, {seen("l", "l", 9.0, "(lm < i)")} FROM
+            (SELECT read, i, l, {reset("s", "sp", "s")}, CASE WHEN mute THEN -1 ELSE la END AS la, CASE WHEN mute THEN 'inf'::DOUBLE ELSE lv END AS lv, lo AND NOT mute AS lo,
+                    CASE WHEN mute THEN sa1 + 3 ELSE lm END AS lm, CASE WHEN sp THEN list_append(cuts, sa1) ELSE cuts END AS cuts FROM
+              (SELECT *, sh AND sv1 > 1.4 AS mute, sh AND so1 AND i - sa1 > 1 AS sp FROM
+                (SELECT read, i, s, l, la, lv, lo, lm, cuts, {seen("s", "s", 1.4)} FROM
+                  (SELECT r.* EXCLUDE (i), t.i, s, l FROM r JOIN t ON t.read = r.read AND t.i = r.i + 1))))))),
+    c AS (SELECT read, unnest(list_distinct(list_append(arg_max(cuts, i), 0))) AS start FROM r GROUP BY read),
+    p AS (SELECT read, start, lead(start, 1, 9223372036854775807) OVER o AS stop, row_number() OVER o - 1 AS event FROM c WINDOW o AS (PARTITION BY read ORDER BY start)),
+    e AS (SELECT read, event, start, count(*) AS length, avg(x)::FLOAT::DOUBLE AS mean, stddev_pop(x)::FLOAT::DOUBLE AS stdv FROM p JOIN {sig} USING (read) WHERE i >= start AND i < stop GROUP BY read, event, start)"""
+
+
+@query(f"{_events_sql(_SIG)} SELECT read AS read_id, event::INT AS event, start, length, round(mean, 3) + 0.0 AS mean, round(stdv, 3) + 0.0 AS stdv FROM e")
 def event_detect(spark, sf_dir):
     """Both detectors over every read's signal."""
     out = sinks.event_rows(reads.detect_events(_reads(spark, sf_dir)))
-    return out.select("read_id", "event", "start", "length", F.round("mean", 3).alias("mean"), F.round("stdv", 3).alias("stdv"))
+    return out.select("read_id", "event", "start", F.col("length").cast("long").alias("length"), *[(F.round(F.col(c).cast("double"), 3) + 0.0).alias(c) for c in ("mean", "stdv")])
 
 
 # ---- sequences ----------------------------------------------------------------------------------------------
@@ -583,7 +610,18 @@ def basecall_events(spark, sf_dir):
     return sinks.fasta_events(pipelines.basecall_events(_reads(spark, sf_dir).withColumn("read_id", F.col("read_id").cast("string")), networks.random_parameters("events", states=257), opts))
 
 
-@query()
+#: Signals without their quiet ends, as the catalog's commands trim them.
+_VIEW = f"""{_SIG}, chunks AS (SELECT read, i // 10 AS chunk, x FROM sig), mid AS (SELECT read, chunk, median(x) AS med FROM chunks GROUP BY read, chunk HAVING count(*) = 10),
+    mads AS (SELECT read, chunk, median(abs(x - med)) AS mad FROM chunks JOIN mid USING (read, chunk) GROUP BY read, chunk),
+    loud AS (SELECT read, chunk FROM mads QUALIFY mad > min(mad) OVER (PARTITION BY read)), ends AS (SELECT read, min(chunk) * 10 + 3 AS first, max(chunk) * 10 + 8 AS beyond FROM loud GROUP BY read),
+    view AS (SELECT read, i - first AS i, x FROM sig JOIN ends USING (read) WHERE i >= first AND i < beyond)"""
+_FIXED = "printf('%.6f', round({0} * 1000000) / 1000000)"
+
+
+@query(
+    f"""{_events_sql(_VIEW, "view")} SELECT '#' || read AS value FROM e WHERE event = 0 UNION ALL SELECT concat_ws(chr(9), 'event', 'start', 'mean', 'stdv', 'dwell') FROM e WHERE event = 0
+    UNION ALL SELECT concat_ws(chr(9), event, start, {_FIXED.format("mean")}, {_FIXED.format("stdv")}, length) FROM e"""
+)
 def event_table(spark, sf_dir):
     opts = pipelines.Options(trim=(3, 2), segmentation=(10, 0.0))
     return sinks.event_tsv(pipelines.event_table(_reads(spark, sf_dir), opts))
