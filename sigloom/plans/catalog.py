@@ -7,6 +7,7 @@ set of sequences. Floats are rounded to six digits on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -516,6 +517,59 @@ def map_forward_banded(spark, sf_dir):
     return _map(spark, sf_dir, forward=True, band=3)
 
 
+_SQUIGGLE = ((-1.2, -0.5, 0.2), (0.4, -0.3, -0.4), (-0.6, -0.8, 0.5), (1.5, 0.1, -0.1))
+_MATCH = {"back_probability": 0.1, "local_penalty": 2.0, "skip_penalty": 1.0}
+
+
+def _match_sql(forward: bool) -> str:
+    """States by number: a start, the squiggle's positions, an end, then a rear state a position. Each lists its ways in, preferred ones first."""
+    n, ways, labels = len(_SQUIGGLE), {}, [-1, *range(len(_SQUIGGLE)), -1, *range(len(_SQUIGGLE))]
+    move = [0.9 / (1 + math.exp(-q)) for *_, q in _SQUIGGLE]
+    stay = [math.log(0.9 - m) for m in move]
+    move = [math.log(m) for m in move]
+    move, stay = ([sum(x) / n, *x, sum(x) / n] for x in (move, stay))
+    for k in range(n + 2):
+        ways[k] = [(k, stay[k])] + [(k - 1, move[k - 1])] * (k > 0) + [(k - 2, move[k - 2] - 1.0)] * (k > 1)
+        if 2 <= k <= n:
+            ways[k] += [(0, move[0] - 2.0 * (k - 1)), (n + k, math.log(0.5))]
+        elif k == n + 1:
+            ways[k] += [(j, move[j] - 2.0 * (n - j)) for j in range(1, n)]
+    for k in range(n):
+        ways[n + 2 + k] = [(n + 2 + k, math.log(0.5))] + [(k + 2, math.log(0.1))] * (k < n - 1)
+    options = ", ".join("[" + ", ".join(f"f[{a + 1}] + {c!r}::DOUBLE" for a, c in w) + "]" for w in ways.values())
+    sources = ", ".join("[" + ", ".join(str(a + 1) for a, _ in w) + "]" for w in ways.values())
+    emits = [f"greatest(-5.0, -abs(x - {loc!r}) / {math.exp(scale)!r} - {scale!r} - ln(2))" for loc, scale, _ in _SQUIGGLE]
+    emits = ["-2.0", *emits, "-2.0", *emits]
+    best = _LSE.format(a="o[j]") if forward else "list_max(o[j])"
+    path = "NULL" if forward else f"list_transform(range(1, {2 * n + 3}), lambda j: list_append(w[src[j][list_position(o[j], list_max(o[j]))]], {labels}[j]))"
+    empty = "NULL" if forward else "[" + ", ".join(["[]::INT[]"] * (2 * n + 2)) + "]"
+    ends = f"f[{n + 1}]", f"f[{n + 2}]"
+    result = f"greatest({ends[0]}, {ends[1]}) + ln(1 + exp(-abs({ends[0]} - {ends[1]})))" if forward else f"greatest({ends[0]}, {ends[1]})"
+    return f"""WITH RECURSIVE {_SIG}, v AS (SELECT read, i, (x - 100) / 60 AS x FROM sig),
+    r AS (SELECT DISTINCT read, -1::BIGINT AS i, [0.0::DOUBLE, {", ".join(["-1e30"] * (2 * n + 1))}] AS f, {empty} AS w FROM v
+      UNION ALL SELECT read, i, list_transform(range(1, {2 * n + 3}), lambda j: {best} + e[j]), {path} FROM
+        (SELECT v.read, v.i, w, [{options}] AS o, [{sources}] AS src, [{", ".join(emits)}] AS e FROM r JOIN v ON v.read = r.read AND v.i = r.i + 1))
+    SELECT read AS read_id, round({result}, 5) + 0.0 AS score{"" if forward else f", CASE WHEN {ends[0]} > {ends[1]} THEN w[{n + 1}] ELSE w[{n + 2}] END AS path"}
+    FROM r QUALIFY row_number() OVER (PARTITION BY read ORDER BY i DESC) = 1"""
+
+
+def _match(spark, sf_dir, **opts) -> DataFrame:
+    squiggle = F.array(*[F.array(*map(F.lit, row)) for row in _SQUIGGLE])
+    df = _reads(spark, sf_dir).withColumns({"normalised": F.transform("signal", lambda x: (x - 100) / 60), "squiggle": squiggle})
+    return reads.map_signal_to_squiggle(df, **_MATCH, **opts).select("read_id", (F.round("map_score", 5) + 0.0).alias("score"), F.col("map_path").alias("path"))
+
+
+@query(_match_sql(False))
+def squiggle_viterbi(spark, sf_dir):
+    """The best way of a whole signal through a squiggle of four positions, with skips, clipped ends and falls back."""
+    return _match(spark, sf_dir)
+
+
+@query(_match_sql(True))
+def squiggle_forward(spark, sf_dir):
+    return _match(spark, sf_dir, forward=True).drop("path")
+
+
 def _transducer_sql() -> str:
     """States 1 to 16 are k-mers of two bases, 17 the start, 18 the end. Each carries its path; stays are -1, entries at an end too."""
     return f"""WITH RECURSIVE {_scores_sql(17)},
