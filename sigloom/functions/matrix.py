@@ -143,7 +143,8 @@ def to_array(m: Column) -> Column:
 
 
 def from_array(a: Column, rows: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / rows).cast("int") - 1), lambda i: F.slice(a, i * rows + 1, rows))
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / rows).cast("int") - 1), lambda i: F.slice(a, i * rows + 1, rows))
+    return N.let(a, cut)
 
 
 def blocks(m: Column, start: int, end: int) -> Column:

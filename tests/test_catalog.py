@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -6,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import assert_same
-from sigloom.kernels import decode, detect, mapping, networks
+from sigloom.kernels import decode, detect, layers, mapping, networks
 from sigloom.plans import catalog
 from sigloom.plans.pipelines import Options
 
@@ -270,6 +271,26 @@ def test_whole_vectors(spark, tmp_path, name):
         assert len(out[8]) == 3 * 64 * (1 if name == "gru" else 2)
 
 
+LONG = {
+    "crf_partition": lambda m: layers.crf_partition(m.reshape(-1, 16)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+def test_one_long_matrix(spark, tmp_path, name):
+    """Cutting a label's vectors into blocks takes time in proportion to them: minutes if every block reads all of them."""
+    m = np.random.default_rng(5).normal(size=(6000, 64)).astype(np.float32)
+    for n in (3, len(m)):
+        rows = pd.DataFrame({"vec_id": range(n), "embedding": m[:n].tolist(), "label": 4})
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        began = time.perf_counter()
+        got = catalog.QUERIES[name](spark, f"{tmp_path}/{n}").toPandas()
+        took = time.perf_counter() - began
+        cells = got.sort_values(["block", "row"]).y if "block" in got else got.iloc[:, 1]
+        assert np.allclose(cells, np.ravel(LONG[name](m[:n].astype(float))), atol=1e-5)
+    assert took < 15, f"{took:.1f} s"
+
+
 def test_pushdown(spark, sf_dir):
     plan = catalog.QUERIES["signal_mad"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<user_id:bigint,value:double>" in plan and "IsNotNull(value)" in plan
