@@ -273,6 +273,7 @@ def test_whole_vectors(spark, tmp_path, name):
 
 LONG = {
     "crf_partition": lambda m: layers.crf_partition(m.reshape(-1, 16)),
+    "crf_viterbi": lambda m: decode.crf_viterbi(m.reshape(-1, 16))[0],
 }
 
 
