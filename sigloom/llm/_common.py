@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Files of a small staged table: enough tasks for a few executors.
 LEAST_FILES = 8
+#: Without Hadoop's native library a file in a local folder costs a process (chmod) of the executor's JVM for each time that its mode is set:
+#: four with a checksum file beside it, one without. Until such a process runs its program it shares the JVM's memory, and counts as much again
+#: where memory is summed by process. Parquet's own page checksums are written and verified instead. Other file systems aren't concerned.
+LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true", "parquet.page.verify-checksum.enabled": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,8 +80,9 @@ class Stage:
         self.made += 1
         if rows is not None:
             df = df.coalesce(max(LEAST_FILES, -(-rows // per_file)))
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        write = df.write.options(**LOCAL_FILES)
+        (write.partitionBy(by) if by else write).parquet(path)
+        out = self.spark.read.schema(df.schema).options(**LOCAL_FILES).parquet(path)
         out._sigloom_path = path
         return out
 
@@ -85,7 +90,7 @@ class Stage:
         """Bucketed and sorted by keys, a table of the session's catalog: joins and groups on keys need no exchange of it."""
         path, name = f"{self.root}/{self.made}", f"sigloom_{uuid.uuid4().hex}"
         self.made += 1
-        df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+        df.write.options(**LOCAL_FILES).bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
         out = self.spark.read.table(name)
         out._sigloom_path, out._sigloom_table = path, name
         return out

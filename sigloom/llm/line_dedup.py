@@ -20,10 +20,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import Stage, narrow
+from sigloom.llm._common import LEAST_FILES, Stage, narrow
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 BATCHES, FANOUT = 4, 2
+#: A batch's lines for each bucket of a run, as far as the session's shuffle partitions go.
+BUCKET_LINES = 20_000
 KEY = ("h1", "h2")
 _STRIP = "\x09\x0a\x0b\x0c\x0d\x20"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,11 +55,16 @@ def long_lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled store. ``add`` takes a batch's lines (h1, h2, doc); ``totals`` is (h1, h2, n, last)."""
+    """The levelled store. ``add`` takes a batch's lines (h1, h2, doc); ``totals`` is (h1, h2, n, last).
 
-    def __init__(self, stage: Stage, fanout: int = FANOUT):
+    rows: about how many lines a batch has, where that is known; runs of few lines then have few buckets, each of which is a file.
+    """
+
+    def __init__(self, stage: Stage, fanout: int = FANOUT, rows: int | None = None):
         self.stage, self.fanout = stage, fanout
-        self.buckets = int(stage.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.most = self.buckets = int(stage.spark.conf.get("spark.sql.shuffle.partitions"))
+        if rows is not None:
+            self.buckets = min(self.most, max(LEAST_FILES, -(-rows // BUCKET_LINES)))
         self.levels: list[list[DataFrame]] = [[]]
         self.repeats: list[DataFrame] = []
 
@@ -79,6 +86,8 @@ class LineRuns:
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def add(self, lines: DataFrame) -> None:
+        if self.buckets < self.most:  # a task a bucket, or each task would write a file for every bucket
+            lines = lines.repartition(self.buckets, *KEY)
         own = self._write(lines.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc").alias("last")))
         known = self.known(own)
         if known is None:
@@ -116,7 +125,7 @@ def repeated_lines(docs: DataFrame, stage: Stage, batches: int = BATCHES, fanout
     if n != distinct:  # rows that repeat a doc_id count once
         lines = lines.distinct()
     lines = stage.put(lines.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), by="batch")
-    store = LineRuns(stage, fanout)
+    store = LineRuns(stage, fanout, -(-lines.count() // batches))
     for k in range(batches):
         store.add(lines.where(F.col("batch") == k))
     # Written, so that the join reads it as it is: a frequent line's rows can then be split among tasks.

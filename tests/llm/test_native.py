@@ -1,6 +1,7 @@
 """URL filter, line dedup and sharding."""
 
 import hashlib
+import os
 import random
 import time
 
@@ -201,3 +202,19 @@ def test_written_shards(spark, docs, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s"))
     want = {r.doc_id: r.shard for r in S.place(docs).collect()}
     assert {r.doc_id: r.shard for r in back.select("doc_id", "shard").collect()} == want
+
+
+def test_small_stages_start_few_processes(spark, docs, texts, monkeypatch):
+    """A file with a checksum file beside it costs four chmod processes of the executor, a plain one costs one; small runs have few files."""
+    monkeypatch.setattr(Stage, "drop", lambda self, *frames: None)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        stage = Stage(spark, "files")
+        lost = L.repeated_lines(docs.select("doc_id", "text"), stage).agg(F.sum(F.size("drop"))).first()[0]
+        files = [f for _, _, names in os.walk(stage.root.removeprefix("file://")) for f in names]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert lost == L.repeated_lines(docs.select("doc_id", "text"), Stage(spark, "files")).agg(F.sum(F.size("drop"))).first()[0]
+    assert not [f for f in files if f.endswith(".crc")]
+    assert len(files) < 300
