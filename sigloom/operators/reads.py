@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -299,3 +301,57 @@ def map_signal_to_squiggle(df: DataFrame, rate: float = 1.0, back_probability: f
     """df (with normalised and squiggle) with map_score and map_path."""
     opts = (rate, back_probability, local_penalty, skip_penalty, min_score, forward)
     return per_read(df, lambda x, q: mapping.match_squiggle(x, q, *opts), ["normalised", "squiggle"], "map_score double, map_path array<int>")
+
+
+# ---- chains in long form: one row a vector, so that no read has to fit in a row ------------------------------------------
+def _in_order(key: str, order: str, values: str) -> list[Column]:
+    return [F.col(key), F.col(order).asc_nulls_last(), F.col(values)]
+
+
+def _vectors(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, width) of a column of lists, and whether each value is there; what is missing is 0, what is beyond is left out."""
+    size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = col.flatten().cast(pa.float64())
+    valid, x = flat.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False)
+    if (size == width).all():
+        return x.reshape(-1, width), valid.reshape(-1, width)
+    x, valid = np.append(x, 0.0), np.append(valid, False)
+    at = np.where(np.arange(width) < size[:, None], (np.cumsum(size) - size)[:, None] + np.arange(width), len(x) - 1)
+    return x[at], valid[at]
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+
+
+def crf_stretches(df: DataFrame, key: str, order: str, values: str, width: int, states: int) -> DataFrame:
+    """key, m: a few blocks with the best scores of a read, one for each stretch of it, that a CRF takes in place of the read's own blocks.
+
+    A vector of ``width`` values is blocks of states * states scores. Stretches are made side by side, also those of one read.
+    A score that is missing is no path; rows without a key are left out.
+    """
+    schema = T.StructType([df.schema[key], *T._parse_datatype_string("part int, at long, block array<double>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            runs = _runs(rb.column(0).to_numpy(zero_copy_only=False))
+            x, there = (a.reshape(-1, states, states) for a in _vectors(rb.column(1), width))
+            owner = np.repeat(np.arange(len(runs)), [(b - a) * (width // states**2) for a, b in runs])
+            x, there, _ = decode.crf_stretches(x, there, owner)
+            blocks = pa.array(x.reshape(-1), mask=~there.reshape(-1))
+            n = len(runs)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0).take(pa.array([a for a, _ in runs])), pa.array(np.full(n, TaskContext.get().partitionId()), pa.int32()), pa.array(np.arange(done, done + n)), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * states**2, blocks)],
+                names=schema.names,
+            )
+            done += n
+
+    own = _in_order(key, order, values)
+    # Partitions are ranges in the same order, so that partition and place in it order a read's stretches.
+    rows = df.where(F.col(key).isNotNull()).repartitionByRange(*own[:2]).sortWithinPartitions(*own).select(key, values)
+    parts = F.array_sort(F.collect_list(F.struct("part", "at", "block")))
+    return rows.mapInArrow(run, schema).groupBy(key).agg(F.transform(parts, lambda p: p["block"]).alias("m"))

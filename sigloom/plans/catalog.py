@@ -424,7 +424,9 @@ def crf_partition(spark, sf_dir):
 
 @query(_crf_sql("list_max({a})", "list_max({a})", "score"))
 def crf_viterbi(spark, sf_dir):
-    return _matrices(spark, sf_dir, 16).select("read_id", r6(M.crf_score(F.col("m"), 4)).alias("score"))
+    """A label's stretches are scored side by side."""
+    out = reads.crf_stretches(_table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", WIDTH, 4)
+    return out.select(F.col("label").alias("read_id"), r6(M.crf_score(F.col("m"), 4)).alias("score"))
 
 
 _LSE = "ln(list_sum(list_transform({a}, lambda x: exp(x - list_max({a}))))) + list_max({a})"

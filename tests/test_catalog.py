@@ -7,7 +7,9 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import assert_same
+from pyspark.sql import functions as F
 from sigloom.kernels import decode, detect, layers, mapping, networks
+from sigloom.operators import reads
 from sigloom.plans import catalog
 from sigloom.plans.pipelines import Options
 
@@ -308,3 +310,29 @@ def test_trimmed_like_its_sql(spark, tmp_path):
 def test_pushdown(spark, sf_dir):
     plan = catalog.QUERIES["signal_mad"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<user_id:bigint,value:double>" in plan and "IsNotNull(value)" in plan
+
+
+def _embeddings(spark, path, rows) -> str:
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{path}/t")
+    next(path.glob("t/*.parquet")).rename(path / "embeddings.parquet")
+    return str(path)
+
+
+def test_crf_viterbi_of_odd_vectors(spark, tmp_path):
+    """Missing and surplus values, missing vectors, orders and labels, as in its SQL."""
+    x = np.random.default_rng(6).normal(size=(60, 64)).astype(np.float32).astype(float).tolist()
+    rows = [(i, v, i % 4) for i, v in enumerate(x[:40])]
+    rows += [(40, [None if j % 5 == 0 else y for j, y in enumerate(x[40])], 0), (41, x[41][:50], 1), (42, x[42] + x[43], 2), (43, None, 5), (44, x[44], 5), (None, x[45], 3), (46, x[46], None), (47, [], 6)]
+    sf = _embeddings(spark, tmp_path, rows)
+    assert_same(catalog.QUERIES["crf_viterbi"](spark, sf), sf, catalog.ORACLE_SQL["crf_viterbi"])
+
+
+def test_crf_viterbi_in_stretches(spark, tmp_path):
+    """A label's vectors are never in one row: they are scored where they lie, and each partition's stretch is a block."""
+    x = np.random.default_rng(7).normal(size=(30_000, 64)).astype(np.float32)
+    sf = _embeddings(spark, tmp_path, pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist(), "label": 4}))
+    got = catalog.QUERIES["crf_viterbi"](spark, sf)
+    assert "collect_list(struct(vec_id" not in got._jdf.queryExecution().toString()
+    assert np.isclose(got.first().score, decode.crf_viterbi(x.reshape(-1, 16).astype(float))[0], atol=1e-5)
+    stretches = reads.crf_stretches(spark.read.parquet(f"{sf}/embeddings.parquet"), "label", "vec_id", "embedding", 64, 4).first().m
+    assert 1 < len(stretches) < 100

@@ -312,3 +312,17 @@ def test_squiggles_together_are_those_alone(rescale):
     some = [rng.integers(0, 4, n) for n in (1, 7, 2, 40, 3, 1)]
     for got, s in zip(W.squiggles(some, p, rescale), some, strict=True):
         assert np.allclose(got, W.squiggle(s, p, rescale))
+
+
+def test_crf_stretches():
+    """Stretches made apart and joined score like the whole; a missing score is no path."""
+    rng = np.random.default_rng(4)
+    owner = np.repeat(np.arange(7), [1, 2, 3, 50, 1, 64, 9])
+    x, there = rng.normal(size=(len(owner), 4, 4)), rng.random((len(owner), 4, 4)) < 0.9
+    got, ok, left = C.crf_stretches(x, np.ones_like(there), owner)
+    assert left.tolist() == list(range(7)) and ok.all()
+    assert np.allclose(got.max(axis=(1, 2)), [C.crf_viterbi(x[owner == k].reshape(-1, 16))[0] for k in range(7)])
+    some, ok, _ = C.crf_stretches(x, there, owner)
+    holes = np.where(there, x, -1e6)
+    assert np.allclose(some[ok], C.crf_stretches(holes, np.ones_like(there), owner)[0][ok]) and (C.crf_stretches(holes, np.ones_like(there), owner)[0][~ok] < -1e5).all()
+    assert not len(C.crf_stretches(x[:0], there[:0], owner[:0])[2])
