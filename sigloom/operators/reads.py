@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sigloom.kernels import decode, detect, mapping, networks
+from sigloom.kernels import decode, detect, layers, mapping, networks
 
 EVENT = "struct<start: bigint, length: float, mean: float, stdv: float, pos: int, state: int>"
 
@@ -355,3 +355,42 @@ def crf_stretches(df: DataFrame, key: str, order: str, values: str, width: int,
     rows = df.where(F.col(key).isNotNull()).repartitionByRange(*own[:2]).sortWithinPartitions(*own).select(key, values)
     parts = F.array_sort(F.collect_list(F.struct("part", "at", "block")))
     return rows.mapInArrow(run, schema).groupBy(key).agg(F.transform(parts, lambda p: p["block"]).alias("m"))
+
+
+def gru_vectors(df: DataFrame, key: str, order: str, values: str, width: int, params: tuple) -> DataFrame:
+    """key, block, h: of each vector, the number of its first block in its read and the states of all its blocks, one after the other.
+
+    A vector of ``width`` values is blocks of as many values as the network (weights, bias, gate and candidate recurrence) takes.
+    A read's vectors pass through one task in their order, a batch at a time. From a missing value on, a read's states are null; rows
+    without a key are left out.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(params)
+    features, size = params[0].shape[1], len(params[3])
+    per = width // features
+    schema = T.StructType([df.schema[key], *T._parse_datatype_string("block long, h array<double>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, state, whole, done = None, np.zeros(size), True, 0
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            keys = rb.column(0).to_numpy(zero_copy_only=False)
+            x, there = _vectors(rb.column(1), width)
+            out, missing, number = np.zeros((len(keys) * per, size)), np.zeros(len(keys) * per, bool), np.empty(len(keys), np.int64)
+            for a, b in _runs(keys):
+                if keys[a] != read:
+                    read, state, whole, done = keys[a], np.zeros(size), True, 0
+                good = there[a:b].reshape(-1, features).all(axis=1)
+                n = (len(good) if good.all() else int(good.argmin())) if whole else 0
+                if n:
+                    out[a * per : a * per + n] = layers.gru_along(x[a:b].reshape(-1, features)[:n], *shared.value, state)
+                    state = out[a * per + n - 1].copy()
+                missing[a * per + n : b * per] = True
+                whole = whole and n == len(good)
+                number[a:b] = (done + np.arange(b - a)) * per
+                done += b - a
+            flat = pa.array(out.reshape(-1), mask=np.repeat(missing, size))
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(number), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * (per * size), flat)], names=schema.names)
+
+    rows = df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(*_in_order(key, order, values)).select(key, values)
+    return rows.mapInArrow(run, schema)

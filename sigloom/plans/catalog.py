@@ -777,8 +777,9 @@ _SIGMOID = "1 / (1 + exp(-({})))"
 def gru(spark, sf_dir):
     """A vector is eight blocks of eight features."""
     p = _GRU
-    run = lambda m: (layers.gru(m, p["gruF1_iW"], p["gruF1_b"], p["gruF1_sW"], p["gruF1_sW2"]),)
-    return _cells(reads.per_read(_matrices(spark, sf_dir, 8), run, ["m"], "h array<array<double>>"), "h")
+    out = reads.gru_vectors(_table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", WIDTH, (p["gruF1_iW"], p["gruF1_b"], p["gruF1_sW"], p["gruF1_sW2"]))
+    out, size = out.select(F.col("label").alias("read_id"), "block", F.posexplode("h").alias("at", "y")), len(p["gruF1_sW2"])
+    return out.select("read_id", (F.col("block") + F.floor(F.col("at") / size)).alias("block"), F.pmod("at", F.lit(size)).cast("long").alias("row"), r6("y").alias("y"))
 
 
 @query(

@@ -336,3 +336,33 @@ def test_crf_viterbi_in_stretches(spark, tmp_path):
     assert np.isclose(got.first().score, decode.crf_viterbi(x.reshape(-1, 16).astype(float))[0], atol=1e-5)
     stretches = reads.crf_stretches(spark.read.parquet(f"{sf}/embeddings.parquet"), "label", "vec_id", "embedding", 64, 4).first().m
     assert 1 < len(stretches) < 100
+
+
+def test_gru_of_one_long_label(spark, tmp_path):
+    """The whole query takes less time than its label's blocks one by one, and no row holds a label."""
+    p = catalog._GRU
+    x = np.random.default_rng(8).normal(size=(60_000, 64)).astype(np.float32)
+    sf = _embeddings(spark, tmp_path, pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist(), "label": 4}))
+    run = lambda: catalog.QUERIES["gru"](spark, sf)
+    assert "collect_list" not in run()._jdf.queryExecution().toString()
+    began = time.perf_counter()
+    want = layers.gru(x.reshape(-1, 8).astype(float), p["gruF1_iW"], p["gruF1_b"], p["gruF1_sW"], p["gruF1_sW2"])
+    one_by_one = time.perf_counter() - began
+    began = time.perf_counter()
+    total = run().agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.max("block").alias("last")).first()
+    took = time.perf_counter() - began
+    assert (total.n, total.last) == (want.size, len(want) - 1) and np.isclose(total.y, want.sum(), atol=0.1)
+    some = run().where("block % 997 = 0").toPandas().sort_values(["block", "row"]).y
+    assert np.allclose(some, want[::997].ravel(), atol=1e-6)
+    assert took < one_by_one, f"{took:.1f} s, one by one {one_by_one:.1f} s"
+
+
+def test_gru_from_a_missing_value_on(spark, tmp_path):
+    """States are null from a missing value on, in that label only; vectors without a label are left out."""
+    x = np.random.default_rng(9).normal(size=(12, 64)).astype(np.float32).astype(float).tolist()
+    clean = _embeddings(spark, (tmp_path / "clean"), [(i, v, i % 2) for i, v in enumerate(x)])
+    x[4][17] = None
+    odd = _embeddings(spark, (tmp_path / "odd"), [(i, v, i % 2) for i, v in enumerate(x)] + [(20, x[0], None)])
+    want, got = ({(r.read_id, r.block, r.row): r.y for r in catalog.QUERIES["gru"](spark, sf).collect()} for sf in (clean, odd))
+    assert got == {k: None if k[0] == 0 and k[1] >= 2 * 8 + 2 else v for k, v in want.items()}
+    assert_same(catalog.QUERIES["gru"](spark, clean), clean, catalog.ORACLE_SQL["gru"])

@@ -314,6 +314,24 @@ def test_squiggles_together_are_those_alone(rescale):
         assert np.allclose(got, W.squiggle(s, p, rescale))
 
 
+@pytest.mark.parametrize(("scale", "blocks"), [(1.0, 20_000), (1.0, L.LONG), (1.0, 100), (0.0, 9_001)])
+def test_gru_side_by_side(scale, blocks):
+    """Pieces of a long chain give the chain's states, also where a state is never forgotten and rounds don't settle."""
+    rng = np.random.default_rng(3)
+    w, b, sw, sw2 = rng.normal(size=(24, 8)) * scale, rng.normal(size=24) * scale, rng.normal(size=(16, 8)) * scale, rng.normal(size=(8, 8))
+    x, start = rng.normal(size=(blocks, 8)), rng.normal(size=8)
+    if not scale:
+        b[:8] = 40.0  # the update gate keeps the old state
+        want = np.tile(start, (blocks, 1))
+    else:
+        h, want = start, []
+        for row in L.affine(x, w, b):
+            h = L.gru_step(h, row, sw, sw2)
+            want.append(h)
+    assert np.allclose(L.gru_along(x, w, b, sw, sw2, start), want, atol=1e-12)
+    assert np.allclose(L.gru_along(x, w, b, sw, sw2, np.zeros(8)), L.gru(x, w, b, sw, sw2), atol=1e-12)
+
+
 def test_crf_stretches():
     """Stretches made apart and joined score like the whole; a missing score is no path."""
     rng = np.random.default_rng(4)
